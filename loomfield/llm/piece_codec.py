@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -137,15 +138,21 @@ class PieceAgenda:
 
 
 class PieceCodec(dict):
-    """Encoder of whole texts; remembers words as (ids as 32-bit integers, decimal ids)."""
+    """Encoder of whole texts; remembers words, and the parts they have, as ids in 32-bit integers."""
 
     CUT = re.compile(f"(?<=[^{MARK}])(?={MARK})")
+    #: Within a word, no piece has a letter followed by one of these, or anything next to a line end.
+    PART = re.compile(r"(?<=[A-Za-z\u00DF-\u00F6\u00F8-\u024F])(?=[.,!?*|\n])|(?<=\n)")
 
     def __init__(self, name: str = MODEL) -> None:
         super().__init__()
         self.agenda = PieceAgenda(name)
         self.sp = self.agenda.sp
         self.eos = self.sp.eos_id()
+        self.decimal = [str(k) for k in range(self.agenda.size)]
+        self.parts: dict[str, bytes] = {}
+        if any(self.PART.split(p) != [p] for p in self.agenda.id if len(p) > 1):
+            raise ValueError("a piece spans a cut")
 
     def words(self, text: str) -> list[str]:
         """The words of a text, each with the marks before it; joined they are the marked text."""
@@ -159,30 +166,28 @@ class PieceCodec(dict):
         """Encode all words not seen before in one go, and compare each with the library."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = list({w for words in texts for w in words if w not in self})
-        got = self.agenda.encode_words(new)
-        # The library puts the first mark itself.
-        if got != self.sp.encode([w[1:] for w in new if len(w) > 1], num_threads=1) and any(g != self.expected(w) for w, g in zip(new, got, strict=True)):
+            self.parts.clear()
+        new = list(set().union(*texts).difference(self))
+        cut = [[x for x in self.PART.split(w) if x] for w in new]
+        parts = list(set().union(*cut).difference(self.parts))
+        for x, ids in zip(parts, self.agenda.encode_words(parts), strict=True):
+            self.parts[x] = array("i", ids).tobytes()
+        got = [b"".join([self.parts[x] for x in xs]) for xs in cut]
+        # The library puts the first mark itself; a lone mark needs a text around it.
+        want = self.sp.encode([w[1:] or "a" + w for w in new], num_threads=1)
+        if any(array("i", ids if len(w) > 1 else ids[1:]).tobytes() != g for w, ids, g in zip(new, want, got, strict=True)):
             raise ValueError("the agenda and the library disagree")
-        for w, ids in zip(new, got, strict=True):
-            self[w] = (np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids)))
+        self.update(zip(new, got, strict=True))
 
-    def expected(self, word: str) -> list[int]:
-        """What the library makes of a word; a lone mark needs a text around it."""
-        if len(word) > 1:
-            return self.sp.encode(word[1:])
-        return self.sp.encode("a" + word)[1:]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
-        """For each text its ids with the end id, as a list and in decimal joined by blanks."""
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text its ids, the end id last."""
         words = [self.words(t or "") for t in texts]
         self.learn(words)
-        out, end = [], str(self.eos)
+        out = []
         for ws in words:
-            got = [self[w] for w in ws]
-            ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4").tolist()
+            ids = array("i", b"".join([self[w] for w in ws])).tolist()
             ids.append(self.eos)
-            out.append((ids, " ".join([*(g[1] for g in got), end])))
+            out.append(ids)
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -199,7 +204,7 @@ def encoded(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                ids = [x[0] for x in codec.encode(part.column(len(carry)).to_pylist())]
+                ids = codec.encode(part.column(len(carry)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], names=[*carry, "ids", "decoded"])
 
     return docs.mapInArrow(run, kinds + "ids array<int>, decoded string")
@@ -219,9 +224,9 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec, out = _codec[0], {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for lo in range(0, len(cols["text"]), ROWS):
             got = codec.encode(cols["text"].slice(lo, ROWS).to_pylist())
-            out["n_tokens"] += [len(ids) for ids, _ in got]
-            out["ids_sha256"] += [hashlib.sha256(s.encode()).hexdigest() for _, s in got]
-            out["decoded_sha256"] += [hashlib.sha256(t.encode()).hexdigest() for t in codec.decode([ids for ids, _ in got])]
+            out["n_tokens"] += [len(ids) for ids in got]
+            out["ids_sha256"] += [hashlib.sha256(" ".join([codec.decimal[k] for k in ids]).encode()).hexdigest() for ids in got]
+            out["decoded_sha256"] += [hashlib.sha256(t.encode()).hexdigest() for t in codec.decode(got)]
         return out
 
     fields = [("doc_id", pa.int64() if id_kind == "bigint" else pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
