@@ -32,6 +32,7 @@ BUCKETS = 8192
 PER_LANG = 300
 CLUSTERS = 4
 ROWS = 256
+FEW_LANGS = 10_000
 UND = "und"
 
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -135,7 +136,9 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: Column, per_lang
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     seen = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
-    near = rows.join(seen, "lang").filter(F.col("h") * F.col("count") <= F.lit(2 * per_lang + 50) * F.lit(1 << 40).cast("double"))
+    # Labels are few; where a dirty column has many, the counts are not broadcast.
+    small = seen.limit(FEW_LANGS + 1).count() <= FEW_LANGS
+    near = rows.join(F.broadcast(seen) if small else seen, "lang").filter(F.col("h") * F.col("count") <= F.lit(2 * per_lang + 50) * F.lit(1 << 40).cast("double"))
     w = Window.partitionBy("lang").orderBy("h", F.sha2("text", 256))
     return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_lang).select("text", "lang", "h")
 
