@@ -10,6 +10,7 @@ from loomfield.llm.language_id import op10_language_id
 from loomfield.llm.media import op5_media_columns
 from loomfield.llm.packing import op2_packing
 from loomfield.llm.piece_codec import op8_piece_codec
+from loomfield.llm.pii import op7_pii
 from loomfield.llm.secret_scan import ORACLE as SECRET_SQL
 from loomfield.llm.secret_scan import op4_secret_scan
 from loomfield.llm.url_filter import ORACLE as URL_SQL
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op8_piece_codec, op10_language_id)
+    found = (op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op10_language_id)
     return {f.__name__: f for f in found}
 
 
