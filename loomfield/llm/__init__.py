@@ -13,6 +13,8 @@ from loomfield.llm.piece_codec import op8_piece_codec
 from loomfield.llm.pii import op7_pii
 from loomfield.llm.secret_scan import ORACLE as SECRET_SQL
 from loomfield.llm.secret_scan import op4_secret_scan
+from loomfield.llm.topk import ORACLE as TOPK_SQL
+from loomfield.llm.topk import op9_exact_topk
 from loomfield.llm.url_filter import ORACLE as URL_SQL
 from loomfield.llm.url_filter import op3_url_filter
 
@@ -20,9 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op10_language_id)
+    found = (op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op9_exact_topk, op10_language_id)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op3_url_filter.__name__: URL_SQL, op4_secret_scan.__name__: SECRET_SQL}
+    return {op3_url_filter.__name__: URL_SQL, op4_secret_scan.__name__: SECRET_SQL, op9_exact_topk.__name__: TOPK_SQL}
