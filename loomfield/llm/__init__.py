@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomfield.llm.jaccard_join import op1_jaccard_join
 from loomfield.llm.language_id import op10_language_id
 from loomfield.llm.media import op5_media_columns
 from loomfield.llm.packing import op2_packing
@@ -22,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op9_exact_topk, op10_language_id)
+    found = (op1_jaccard_join, op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op9_exact_topk, op10_language_id)
     return {f.__name__: f for f in found}
 
 
