@@ -12,6 +12,7 @@ from loomfield.llm.media import op5_media_columns
 from loomfield.llm.packing import op2_packing
 from loomfield.llm.piece_codec import op8_piece_codec
 from loomfield.llm.pii import op7_pii
+from loomfield.llm.repeats import op6_repeats
 from loomfield.llm.secret_scan import ORACLE as SECRET_SQL
 from loomfield.llm.secret_scan import op4_secret_scan
 from loomfield.llm.topk import ORACLE as TOPK_SQL
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_jaccard_join, op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op7_pii, op8_piece_codec, op9_exact_topk, op10_language_id)
+    found = (op1_jaccard_join, op2_packing, op3_url_filter, op4_secret_scan, op5_media_columns, op6_repeats, op7_pii, op8_piece_codec, op9_exact_topk, op10_language_id)
     return {f.__name__: f for f in found}
 
 
