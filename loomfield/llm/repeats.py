@@ -17,8 +17,8 @@ broadcast unless its size was checked; the filter of repeated names has a bounde
 beyond which it lets more through and loses nothing.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep all. Repeated rows
-are copies of each other. Cuts are at bytes, so ``cleaned`` moves them inwards to whole code points.
-Other columns are ignored by ``repeated_spans`` and kept by ``cleaned``. The input must be a table
+are copies of each other. Spans are of bytes; ``whole_points`` moves them inwards to whole code points. Other
+columns are kept by ``with_spans`` (those named raw and spans are replaced). The input must be a table
 that reads the same twice. An empty table gives no rows.
 """
 
@@ -358,7 +358,8 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
 def with_spans(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` (with ``text``) with raw and ``spans``, the merged byte spans to remove; null where there are none."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("raw", "spans")]
+    docs = docs.select(*own)
     rows, spans = repeated_spans(docs, length, scratch)
     few = spans.limit(FEW + 1).count() <= FEW
     both = rows.join(F.broadcast(spans) if few else spans, "uid", "left")
@@ -374,6 +375,20 @@ def cut(raw: bytes, spans: list[dict] | None) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def whole_points(raw: bytes, spans: list[dict]) -> list[dict]:
+    """Spans moved inwards so that none begins or ends within a UTF-8 sequence."""
+    out = []
+    for x in spans:
+        lo, hi = x["s"], x["e"]
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append({"s": lo, "e": hi})
+    return out
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less the bytes covered by 400-byte strings that also start elsewhere."""
     docs = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), LENGTH).select("doc_id", "raw", "spans")
