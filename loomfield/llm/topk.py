@@ -1,15 +1,14 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 The vectors are cut into ``PARTS`` column parts. A node holds one part of one block of vectors and
-can only score that part; a candidate's score is the sum of its parts' scores. Scores are made
-non-negative by taking off, for each query and part, the least partial score anywhere.
+can only score that part; a candidate's score is the sum of its parts' scores.
 
-1. Every node sends, for each query, its local list of the k best partial scores. The sums of what
-   has arrived are lower bounds of scores; the k-th best of them, divided by the number of parts, is
-   the uniform threshold: a candidate of the true k best has a part that reaches it.
-2. Every node sends all its entries that reach the query's threshold.
-3. What was sent bounds every candidate from above; those that can still be among the k best are
-   scored exactly from their whole vectors.
+1. Every node sends, for each query, its local list of the k best partial scores. Those candidates
+   are scored in full; the k-th best of a query is a safe cutoff of its true k best.
+2. The cutoff divided by the number of parts is the uniform threshold: a candidate that reaches the
+   cutoff reaches the threshold in some part, whatever the signs. It is sent to the nodes with the
+   queries, and every node sends all entries that reach it.
+3. What was sent is scored exactly from whole vectors and ranked.
 
 Scale: queries come in blocks of ``QUERY_BLOCK`` and candidates in blocks of ``ROW_BLOCK``, both
 packed as matrices; a pair of blocks meets once in each phase, by an equi-join on the block's
@@ -78,11 +77,11 @@ def _matrix(raw: bytes, width: int, part: int, parts: int) -> np.ndarray:
     return m[:, cut[part] : cut[part + 1]]
 
 
-ENTRIES = "query_id long, vec_id long, part int, score long"
+PAIRS = "query_id long, vec_id long"
 
 
 def local_lists(grid: DataFrame, k: int, parts: int) -> DataFrame:
-    """Phase 1: the k best partial scores of each node, and as vec_id null the least of all."""
+    """Phase 1: the k best partial scores of each node for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,37 +89,38 @@ def local_lists(grid: DataFrame, k: int, parts: int) -> DataFrame:
                 w, p = r["width"], r["part"]
                 q_ids, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
                 s = _matrix(r["q_m"], w, p, parts) @ _matrix(r["m"], w, p, parts).T
-                least = s.min(1)
                 s[q_ids[:, None] == ids[None, :]] = -np.inf
                 n = min(k, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                top = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
                 rows = np.repeat(np.arange(len(q_ids)), n)
-                flat = top.ravel()
-                score = s[rows, flat]
-                ok = np.isfinite(score)
-                one = pa.RecordBatch.from_pydict({"query_id": q_ids[rows[ok]], "vec_id": pa.array(ids[flat[ok]], pa.int64()), "part": np.full(ok.sum(), p, np.int32), "score": score[ok].astype(np.int64)})
-                yield one
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids, "vec_id": pa.nulls(len(q_ids), pa.int64()), "part": np.full(len(q_ids), p, np.int32), "score": least.astype(np.int64)})
+                ok = np.isfinite(s[rows, top])
+                yield pa.RecordBatch.from_pydict({"query_id": q_ids[rows[ok]], "vec_id": ids[top[ok]]})
 
-    return grid.select("width", "part", "q_ids", "q_m", "ids", "m").mapInArrow(run, ENTRIES)
+    return grid.select("width", "part", "q_ids", "q_m", "ids", "m").mapInArrow(run, PAIRS)
 
 
 def reaching(grid: DataFrame, parts: int) -> DataFrame:
-    """Phase 2: entries whose partial score reaches the query's threshold of the part; ``cut`` has them by query and part."""
+    """Phase 2: pairs whose score of the node's part reaches the query's threshold; all pairs of a query without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 w, p = r["width"], r["part"]
                 q_ids, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
-                cut = {x["query_id"]: x["cut"][p] for x in r["cuts"]}
+                cut = {x["query_id"]: x["cut"] for x in r["cuts"]}
                 s = _matrix(r["q_m"], w, p, parts) @ _matrix(r["m"], w, p, parts).T
                 s[q_ids[:, None] == ids[None, :]] = -np.inf
-                floor = np.array([cut.get(int(x), -np.inf) for x in q_ids])
-                at_q, at_c = np.nonzero(s >= np.where(np.isfinite(floor), floor, np.finfo(float).min)[:, None])
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at_q], "vec_id": ids[at_c], "part": np.full(len(at_q), p, np.int32), "score": s[at_q, at_c].astype(np.int64)})
+                at_q, at_c = np.nonzero(s >= np.array([cut.get(int(x), np.finfo(float).min) for x in q_ids])[:, None])
+                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at_q], "vec_id": ids[at_c]})
 
-    return grid.select("width", "part", "q_ids", "q_m", "ids", "m", "cuts").mapInArrow(run, ENTRIES)
+    return grid.select("width", "part", "q_ids", "q_m", "ids", "m", "cuts").mapInArrow(run, PAIRS)
+
+
+def exact(pairs: DataFrame, queries: DataFrame, every: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of distinct pairs, from whole vectors."""
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    both = pairs.distinct().join(every.select(F.col("id").alias("vec_id"), F.col("v").alias("b")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
+    return both.filter(F.size("a") == F.size("b")).select("query_id", "vec_id", dot.alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, parts: int = PARTS) -> DataFrame:
@@ -130,43 +130,18 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     q_rows = every.filter("is_query").select("id", "v").distinct()
     queries = blocks(q_rows, QUERY_BLOCK, scratch, "queries")
     candidates = blocks(every.select("id", "v"), ROW_BLOCK, scratch, "candidates")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    # Phase 1. The least partial score anywhere makes each part non-negative.
-    lists = scratch.write(local_lists(cells(queries, candidates, parts), k, parts), "lists")
-    least = lists.filter(F.col("vec_id").isNull()).groupBy("query_id", "part").agg(F.min("score").alias("least"))
-    known = lists.filter(F.col("vec_id").isNotNull()).join(least, ["query_id", "part"])
-    # A candidate's repeats under one id are told apart by nothing; the best of each part bounds them all.
-    partial = known.groupBy("query_id", "vec_id", "part").agg(F.max("score").alias("score"), F.first("least").alias("least"))
-    lower = partial.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
-    kth = lower.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") == k).select("query_id", F.col("bound").alias("tau"))
-    floors = least.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "least"))).alias("floor"))
-    # Fewer than k known: everything is sent. Dividing rounds down, which only sends more.
-    cut = floors.join(kth, "query_id", "left").select(
-        "query_id", F.coalesce("tau", F.lit(0)).alias("tau"), "floor",
-        F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.floor(F.coalesce("tau", F.lit(0)) / parts) + F.col("floor")[p]).alias("cut"),
-    )
-    cut = scratch.write(cut, "cut")
-
-    # Phase 2. A block's thresholds travel with it.
-    cuts = queries.select("block", "width", F.explode(F.array_distinct("ids")).alias("id")).join(cut, F.col("id") == F.col("query_id")).groupBy("block", "width").agg(F.collect_list(F.struct("query_id", "cut")).alias("cuts"))
-    sent = reaching(cells(queries.join(cuts, ["block", "width"]), candidates, parts), parts)
-    # What a part did not send is below its threshold.
-    best = sent.groupBy("query_id", "vec_id").agg(*[F.max(F.when(F.col("part") == p, F.col("score"))).alias(f"s{p}") for p in range(parts)])
-    bounded = best.join(cut, "query_id")
-    upper = sum((F.coalesce(F.col(f"s{p}"), F.col("cut")[p]) - F.col("floor")[p] for p in range(parts)), F.lit(0))
-    open_pairs = scratch.write(bounded.filter(upper >= F.col("tau")).select("query_id", "vec_id"), "open")
+    listed = exact(local_lists(cells(queries, candidates, parts), k, parts), q_rows, every)
+    kth = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("cutoff"))
+    # Fewer than k: no threshold, all is sent.
+    cut = kth.filter(F.col("n") == k).select("query_id", (F.col("cutoff") / F.lit(float(parts))).alias("cut"))
+    of_block = queries.select("block", "width", F.explode(F.array_distinct("ids")).alias("query_id"))
+    cuts = of_block.join(cut, "query_id", "left").groupBy("block", "width").agg(F.collect_list(F.struct("query_id", F.coalesce("cut", F.lit(-1e300)).alias("cut"))).alias("cuts"))
 
-    # Phase 3. Exact scores from whole vectors.
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    exact = (
-        open_pairs.join(every.select(F.col("id").alias("vec_id"), F.col("v").alias("b")), "vec_id")
-        .join(q_rows.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
-        .filter(F.size("a") == F.size("b"))
-        .select("query_id", "vec_id", dot.alias("score"))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sent = reaching(cells(queries.join(cuts, ["block", "width"]), candidates, parts), parts)
+    ranked = exact(sent, q_rows, every).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
