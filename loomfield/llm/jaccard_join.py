@@ -150,18 +150,11 @@ def classes(docs: DataFrame, words: int, num: int, den: int, hot: np.ndarray, sc
                     bits.append(parity_bitmap(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(anchors, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "anchors", "bits"])
 
-    shape = f"doc_id {id_kind}, n long, cls binary"
-    full = docs.select("doc_id", "text").mapInArrow(run, f"{shape}, anchors array<long>, bits binary")
+    # Texts are read and cut once for all that follows but the last comparison of whole sets.
+    full = scratch.write(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, n long, cls binary, anchors array<long>, bits binary"), "members")
     one = full.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("anchors").alias("anchors"), F.first("bits").alias("bits"))
     of_class = scratch.write(one.withColumn("k", F.monotonically_increasing_id()), "classes")
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler(words)
-        for b in batches:
-            s = [cut(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in s], pa.binary())], names=["doc_id", "n", "cls"])
-
-    return docs.select("doc_id", "text").mapInArrow(plain, shape), of_class
+    return full.select("doc_id", "n", "cls"), of_class
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
