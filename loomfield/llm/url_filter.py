@@ -9,10 +9,11 @@ interval has closed, or whose path is no prefix of the url's, are left out, and
 others (host first, then path) decides.
 
 Scale: urls are dealt by the first two labels of the reversed host, which a rule of two labels or
-more shares with all urls it covers; rules of one label go to every part. Domains with more urls
-than ``TARGET`` are counted first and spread over several parts, to which their rules are copied;
-there are at most rows / ``TARGET`` such domains. One shuffle moves the urls, and no task gets a
-whole hot host. The rules may be a table of any size; those of one chain of nested hosts are held
+more shares with all urls it covers; rules of one label go to every part. There are as many parts as
+shuffle partitions, and more where a part would exceed ``TARGET`` urls. Domains with more urls than
+a part's share are counted first and spread over several parts, to which their rules are copied; no
+more such domains can exist than parts. One shuffle moves the urls, and no task gets a whole hot
+host. The rules may be a table of any size; those of one chain of nested hosts are held
 together on the stack.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the
@@ -76,16 +77,13 @@ def filtered(urls: DataFrame, rules: DataFrame, url: str = "url", default: str =
     rows = urls.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host"))).withColumn("domain", domain(F.col("key")))
     keyed = stacks(rules).withColumn("domain", domain(F.col("key")))
 
-    # Hot domains: at most rows / target of them, so that their list has a bound.
-    hot = rows.groupBy("domain").count().filter(F.col("count") > target).select("domain", F.ceil(F.col("count") / target).cast("int").alias("salts"))
     total = urls.count()
-    parts = max(1, math.ceil(total / target)) * 8
-    if total > target:
-        rows = rows.join(F.broadcast(hot), "domain", "left")
-        rule_salts = keyed.select("domain").distinct().join(F.broadcast(hot), "domain", "left")
-    else:
-        rows = rows.withColumn("salts", F.lit(1))
-        rule_salts = keyed.select("domain").distinct().withColumn("salts", F.lit(1))
+    parts = max(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / target))
+    share = max(1, total // parts)
+    # Domains above a part's share: fewer than parts of them, so that their list has a bound.
+    hot = rows.groupBy("domain").count().filter(F.col("count") > share).select("domain", F.ceil(F.col("count") / share).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(hot), "domain", "left")
+    rule_salts = keyed.select("domain").distinct().join(F.broadcast(hot), "domain", "left")
     salts = F.coalesce(F.col("salts"), F.lit(1))
     # Rows of a host spread by their place in the scan; equal urls need not meet.
     part = lambda salt: F.pmod(F.xxhash64("domain", salt), F.lit(parts))
