@@ -40,7 +40,7 @@ from loomfield.llm.suffix_order import suffix_order
 
 LENGTH = 400
 GRAM = 8
-FEW = 1_000_000
+FEW = 300_000
 SLICE = 1 << 20
 PART = 4_000_000
 MOST_BITS = 27
