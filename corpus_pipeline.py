@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import jaccard_join, language_id, packing, pii, repeats
-from loomfield.llm.common import Scratch
+from loomfield.llm.common import Scratch, sliced
 
 WORDS, SIMILARITY = 5, (80, 100)
 #: Bytes of a passage that may stand only once; passages of 50 words are longer than this.
@@ -52,7 +52,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     at, own = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             text = [
                 t if not spans else repeats.cut(raw, repeats.whole_points(raw, spans)).decode("utf-8")
                 for t, raw, spans in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), b.column(own + 1).to_pylist(), strict=True)

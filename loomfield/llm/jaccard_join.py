@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import Scratch, table
+from loomfield.llm.common import Scratch, sliced, table
 from loomfield.llm.components import components
 
 LEVELS = 2
 SKETCH = 20  # log2 of the counters
 BLOCK = 16
 FEW = 1_000_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 PAIRS_AT_ONCE = 2_000_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -89,7 +89,7 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, total = Shingler(words), np.zeros(1 << SKETCH, dtype="<u4")
-        for b in batches:
+        for b in sliced(batches):
             got = [cut(t) for t in b.column(0).to_pylist()]
             if got:
                 total += np.bincount((np.concatenate(got) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype("<u4")
@@ -136,19 +136,17 @@ def classes(docs: DataFrame, words: int, num: int, den: int, hot: np.ndarray, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, heat = Shingler(words), shared.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                n, cls, anchors, bits = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    s = cut(t)
-                    order = np.argsort(heat[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
-                    first = len(s) + num * -len(s) // den if len(s) else 0  # len - ceil(t len)
-                    n.append(len(s))
-                    cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    anchors.append(s[order[: first + 1]].view(np.int64))
-                    bits.append(parity_bitmap(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(anchors, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "anchors", "bits"])
+        for part in sliced(batches):
+            n, cls, anchors, bits = [], [], [], []
+            for t in part.column(1).to_pylist():
+                s = cut(t)
+                order = np.argsort(heat[(s >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
+                first = len(s) + num * -len(s) // den if len(s) else 0  # len - ceil(t len)
+                n.append(len(s))
+                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                anchors.append(s[order[: first + 1]].view(np.int64))
+                bits.append(parity_bitmap(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(anchors, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "anchors", "bits"])
 
     # Texts are read and cut once for all that follows but the last comparison of whole sets.
     full = scratch.write(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, n long, cls binary, anchors array<long>, bits binary"), "members")
@@ -269,7 +267,7 @@ def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(words)
-        for b in batches:
+        for b in sliced(batches):
             s = [cut(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cls", "shingles"])
 
@@ -278,13 +276,11 @@ def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int,
     full = open_pairs.select("a", "b", "a_cls", "b_cls").join(known.select(F.col("cls").alias("a_cls"), F.col("shingles").alias("x")), "a_cls").join(known.select(F.col("cls").alias("b_cls"), F.col("shingles").alias("y")), "b_cls")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                x, y = ([np.frombuffer(v, np.uint64) for v in part.column(k).to_pylist()] for k in (2, 3))
-                i = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
-                u = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - i
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 - i / u, pa.float64()), pa.array(den * i >= num * u, pa.bool_())], names=["a", "b", "d", "linked"])
+        for part in sliced(batches, 128):
+            x, y = ([np.frombuffer(v, np.uint64) for v in part.column(k).to_pylist()] for k in (2, 3))
+            i = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
+            u = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - i
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 - i / u, pa.float64()), pa.array(den * i >= num * u, pa.bool_())], names=["a", "b", "d", "linked"])
 
     return scratch.write(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long, d double, linked boolean"), f"{name}-pairs")
 

@@ -35,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import Scratch, table
+from loomfield.llm.common import Scratch, sliced, table
 from loomfield.llm.suffix_order import suffix_order
 
 LENGTH = 400
 GRAM = 8
 FEW = 300_000
-SLICE = 1 << 20
+SLICE = 1 << 18
+PACKET = 1 << 20
 PART = 4_000_000
 MOST_BITS = 27
 
@@ -137,7 +138,7 @@ class Slices:
 
 def repeated_names(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for _, _, _, _, names, _ in Slices(b.column(0).to_pylist(), length):
                 u, n = np.unique(names, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"name": u.view(np.int64), "n": np.minimum(n, 2).astype(np.int64)})
@@ -177,7 +178,7 @@ def rows_of_chunks(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             raw, uid = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for texts_in, starts, a, b, names, of in Slices(raw, length):
                 bit = (names >> shift).astype(np.int64)
@@ -291,7 +292,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
             for x in b.to_pylist():
                 held.append(x)
                 size += len(x["raw"])
-                if size >= SLICE:
+                if size >= PACKET:
                     yield row()
                     k, held, size = k + 1, [], 0
         if held:
@@ -395,7 +396,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
             kept = [cut(x, s) for x, s in zip(raw, spans, strict=True)]
             n = [len(x) for x in raw]
