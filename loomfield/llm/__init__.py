@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomfield.llm.jaccard_join import ORACLE as JACCARD_SQL
 from loomfield.llm.jaccard_join import op1_jaccard_join
 from loomfield.llm.language_id import op10_language_id
 from loomfield.llm.media import op5_media_columns
 from loomfield.llm.packing import op2_packing
 from loomfield.llm.piece_codec import op8_piece_codec
+from loomfield.llm.pii import ORACLE as PII_SQL
 from loomfield.llm.pii import op7_pii
 from loomfield.llm.repeats import op6_repeats
 from loomfield.llm.secret_scan import ORACLE as SECRET_SQL
@@ -29,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op3_url_filter.__name__: URL_SQL, op4_secret_scan.__name__: SECRET_SQL, op9_exact_topk.__name__: TOPK_SQL}
+    return {op1_jaccard_join.__name__: JACCARD_SQL, op7_pii.__name__: PII_SQL, op3_url_filter.__name__: URL_SQL, op4_secret_scan.__name__: SECRET_SQL, op9_exact_topk.__name__: TOPK_SQL}

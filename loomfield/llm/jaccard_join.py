@@ -328,3 +328,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are linked by 4-word shingles with J >= 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cut AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM docs),
+one AS (SELECT n, len(s) AS k, unnest(s) AS s FROM cut),
+links AS (SELECT a.n AS a, b.n AS b FROM one a JOIN one b ON a.s = b.s AND a.n <> b.n GROUP BY a.n, b.n HAVING 100 * count(*) >= 85 * (any_value(a.k) + any_value(b.k) - count(*))),
+reach(n, m) AS (SELECT n, n FROM cut UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.m = links.a)
+SELECT c.doc_id, len(c.s)::BIGINT AS n_shingles, CASE WHEN len(c.s) = 0 THEN c.doc_id ELSE min(o.doc_id) END AS component_id FROM cut c JOIN reach USING (n) JOIN cut o ON o.n = reach.m GROUP BY c.n, c.doc_id, len(c.s)"""
