@@ -53,8 +53,8 @@ _powers: list[np.ndarray] = []
 
 
 def reach(length: int) -> int:
-    """Neighbours among which an anchor is least: short enough that a string of ``length`` has several."""
-    return max(4, min(64, (length - GRAM) // 5))
+    """Neighbours among which an anchor is least: short enough that a string of ``length`` has a chunk."""
+    return max(4, min(128, (length - GRAM) // 3))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def shared_anchors(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     order = suffix_order(strings.select("sid", "v", "c"), length, scratch)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for sid, v, c, times, less in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 v, ends = np.array(v, np.int64), np.cumsum([0, *c])
@@ -288,7 +288,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
             n = sum(len(windows(x["raw"], x["at"])) for x in held)
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([n], pa.int64()), pa.array([held], kind)], names=["packet", "n", "texts"])
 
-        for b in batches:
+        for b in sliced(batches, 16):
             for x in b.to_pylist():
                 held.append(x)
                 size += len(x["raw"])
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
         return np.concatenate(out)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for packet, texts_in in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = prints(texts_in)
                 part = (h % _U(parts)).astype(np.int64)
@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
     bits = asked.groupBy("part").applyInArrow(answer, "packet long, part long, bits binary").groupBy("packet").agg(F.collect_list(F.struct("part", "bits")).alias("bits"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for texts_in, answers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = prints(texts_in)
                 part = (h % _U(parts)).astype(np.int64)
