@@ -1,18 +1,23 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them. DataFrame operations only.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, payment cards, phone numbers.
-Of the words within ``WINDOW`` code points of an entity the corpus tells how strongly each reveals
-it: with document frequencies over all documents, a term t discloses of an entity e the share
+Of the words of the documents that hold an entity the corpus tells how strongly each reveals it:
+with document frequencies over all documents, a term t discloses of an entity e the share
 
     PMI(t; e) / IC(e)  =  log(p(t, e) / (p(t) p(e))) / -log p(e)
 
-of e's information, where p(t, e) counts the documents in which t stands near e. A term seen near
-e in at least ``SUPPORT`` documents is generalised if the share reaches ``GENERALISE`` and removed
-if it reaches ``REMOVE``. Texts without an entity are never changed.
+of e's information, where p(t, e) counts the documents that hold both, however far apart. Terms are
+runs of letters of any script outside the entities. A term that ``support`` documents or more hold
+with e is generalised if the share reaches ``GENERALISE`` and removed if it reaches ``REMOVE``, at all
+its places in the documents that hold e. Texts without an entity are never changed.
 
-Scale: only words near entities make pairs, a bounded number for each entity, so pairs grow with
-the entities and never with the square of a text. Document frequencies come from one pass with
-counts added up in every task before the shuffle; it is skipped for words that are near no entity.
+With a support of 1 or 2 entities of one or two documents are judged too. It is ``SUPPORT`` unless the
+caller says otherwise, since of an entity of one document the corpus says of each word that no other
+document has that it reveals it wholly.
+
+Scale: only documents with entities make pairs, and of their words only those rare enough that their
+share can reach ``GENERALISE`` beside the entity's own frequency, which is known before pairs are
+made. Document frequencies come from one pass with counts added up in every task before the shuffle.
 What is joined back is keyed by the text's SHA-256, which the engine can split where it is hot.
 
 Defined results: a null text counts as empty; empty texts have no spans. Repeated rows each give a
@@ -23,7 +28,7 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.common import Scratch, table
@@ -38,11 +43,11 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9]){12,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-WINDOW = 40
+WINDOW = 40  # of the SQL alone
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-TERM = r"[A-Za-zÀ-ɏ]{3,}"
+TERM = r"\p{L}[\p{L}\p{M}]*+"
 
 
 def digits(x: Column) -> Column:
@@ -74,46 +79,62 @@ def base_spans(text: Column) -> Column:
     return F.concat(each[0], *[F.filter(s, f) for s, f in zip(each[1:], keep[1:], strict=True)])
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Whole words within the window on either side of a span, with their places."""
-    lo = F.greatest(span["s"] - WINDOW, F.lit(0))
-    hi = F.least(span["e"] + WINDOW, F.char_length(text).cast("long"))
-    # One code point more on each outer side tells a whole word from the rest of one.
-    left = F.substring(text, (F.greatest(lo - 1, F.lit(0)) + 1).cast("int"), (span["s"] - F.greatest(lo - 1, F.lit(0))).cast("int"))
-    right = F.substring(text, (span["e"] + 1).cast("int"), (hi + 1 - span["e"]).cast("int"))
-    words = lambda part, at, low, high: F.filter(
-        F.transform(found(part, TERM, 0), lambda x: F.struct(F.lower(x["t"]).alias("term"), (x["s"] + at).alias("s"), (x["e"] + at).alias("e"))),
-        lambda x: (x["s"] >= low) & (x["e"] <= high),
-    )
-    first = F.greatest(lo - 1, F.lit(0))
-    return F.concat(words(left, first, F.when(lo > 0, lo).otherwise(0), span["s"] - 1), words(right, span["e"], span["e"] + 1, F.when(hi < F.char_length(text), hi).otherwise(hi)))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans, so that all other places stay."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+    def step(a: Column, x: Column) -> Column:
+        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["s"] - a["at"], F.lit(0)).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], a["at"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], gap, blank).alias("out"))
+
+    done = F.aggregate(order, start, step)
+    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
+
+
+def terms(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda m: F.lower(m)))
+
+
+def term_places(texts: DataFrame) -> DataFrame:
+    """(key, term, s, e) of every word; ``texts`` has key and blank."""
+    words = F.regexp_extract_all("blank", F.lit(TERM), F.lit(0))
+    each = texts.select("key", F.posexplode(F.zip_with(F.slice(F.split("blank", TERM, -1), F.lit(1), F.size(words)), words, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))).alias("i", "x"))
+    e = F.sum(F.col("x.gap") + F.char_length("x.m")).over(Window.partitionBy("key").orderBy("i"))
+    return each.select("key", F.lower("x.m").alias("term"), (e - F.char_length("x.m")).alias("s"), e.alias("e"))
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, spans): for each text the spans of terms that reveal an entity near them.
+def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, support: int = SUPPORT) -> DataFrame:
+    """(key, spans): for each text the spans of terms that reveal an entity it holds.
 
-    ``docs`` has a row per document with ``text``; ``base`` has key, text and spans of those with entities.
+    ``docs`` has a row per document with ``text``; ``base`` has key, text, spans and copies of those with entities.
     """
-    at = base.select("key", "text", F.explode("spans").alias("x")).select("key", F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.t")).alias("entity"), F.explode(near_terms(F.col("text"), F.col("x"))).alias("w"))
-    seen = at.select("key", "entity", "w.term", "w.s", "w.e")
-    copies = base.groupBy("key").agg(F.sum("copies").alias("copies"))
-    once = seen.select("key", "entity", "term").distinct().join(copies, "key")
-    both = once.groupBy("entity", "term").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    whose = base.select("key", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["k"].cast("string"), F.lower(x["t"]))))).alias("entity"))
-    n_entity = whose.join(copies, "key").groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    # Every document's every word, counted once for each document, whatever documents hold entities.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    whose = base.select("key", "copies", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["k"].cast("string"), F.lower(x["t"]))))).alias("entity"))
+    n_entity = whose.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") >= support)
+    held = whose.join(n_entity, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"), F.max("n_entity").alias("most"))
+    texts = base.select("key", "text", "copies", blanked(F.col("text"), F.col("spans")).alias("blank"))
+    # Every document's every word, counted once for each document; what stands in an entity is no word.
+    words = docs.select(F.explode(terms(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    words = words.union(texts.select(F.explode(terms(F.col("text"))), -F.col("copies"))).union(texts.select(F.explode(terms(F.col("blank"))), "copies"))
+    n_term = words.groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= support)
     total = docs.agg(F.count("*").alias("n"))
+    # As n_both is n_entity at most, a more frequent term's share stays below GENERALISE.
+    rare = lambda n_e: F.col("n_term") <= F.col("n") * F.pow(F.col(n_e) / F.col("n"), F.lit(GENERALISE)) * (1 + 1e-9)
+    open_texts = texts.join(held, "key").select("key", "copies", "held", "most", F.explode(terms(F.col("blank"))).alias("term"))
+    few = open_texts.join(n_term, "term").join(F.broadcast(total)).filter(rare("most")).select("key", "copies", "term", "n_term", "n", F.explode("held").alias("h"))
+    pairs = scratch.write(few.select("key", "copies", "term", "n_term", "n", "h.entity", "h.n_entity").filter(rare("n_entity")), "pairs")
+    both = pairs.groupBy("entity", "term", "n_term", "n_entity", "n").agg(F.sum("copies").alias("n_both")).filter(F.col("n_both") >= support)
     share = F.ln(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.ln(F.col("n") / F.col("n_entity")), F.lit(0.0))
-    scored = both.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(total)).withColumn("share", share).filter(F.col("share") >= GENERALISE)
-    hit = seen.join(scored.select("entity", "term", "share"), ["entity", "term"])
+    scored = both.withColumn("share", share).filter(F.col("share") >= GENERALISE)
     k = F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    most = hit.groupBy("key", "s", "e").agg(F.max(k).alias("k"), F.first("term").alias("t"))
-    return most.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", "t"))).cast(f"array<{SPAN}>").alias("more"))
+    hits = scratch.write(pairs.select("key", "entity", "term").join(scored.select("entity", "term", k.alias("k")), ["entity", "term"]).groupBy("key", "term").agg(F.max("k").alias("k")), "hits")
+    at = term_places(texts.join(hits.select("key").distinct(), "key", "left_semi").select("key", "blank")).join(hits, ["key", "term"])
+    return at.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", F.col("term").alias("t")))).cast(f"array<{SPAN}>").alias("more"))
 
 
-def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(rows with a struct ``row`` of all columns, text, key and base ``spans``; key with spans of revealing terms).
 
     The spans of texts that have any are written once in the shared folder, since four steps read them.
@@ -125,13 +146,13 @@ def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None
     found_in = rows.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
     # Equal texts share a key; a task adds up its own copies.
     base = scratch.write(found_in.select(F.sha2("text", 256).alias("key"), "text", "spans").groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies")), "base")
-    more = scratch.write(revealing_terms(rows, base), "more")
+    more = scratch.write(revealing_terms(rows, base, scratch, support), "more")
     return rows, base.select("key", F.col("spans").alias("base")).join(more, "key", "left")
 
 
-def with_spans(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT) -> DataFrame:
     """Rows (struct ``row``, ``text``) with all ``spans``."""
-    rows, spans = detected(docs, text, scratch)
+    rows, spans = detected(docs, text, scratch, support)
     none = F.array().cast(f"array<{SPAN}>")
     hit = rows.withColumn("key", F.sha2("text", 256)).join(spans, "key", "left")
     return hit.select("row", "text", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
@@ -154,9 +175,9 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text))))
 
 
-def sanitised(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def sanitised(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT) -> DataFrame:
     """The same columns with the text masked; null texts stay null."""
-    rows = with_spans(docs, text, scratch)
+    rows = with_spans(docs, text, scratch, support)
     clean = F.when(F.col(f"row.`{text}`").isNotNull(), masked(F.col("text"), F.concat("base", "more")))
     return rows.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -137,6 +137,29 @@ def test_revealing_terms_are_removed_only_near_their_entity(spark):
     assert pii.sanitised(frame(spark, [])).count() == 0
 
 
+def test_revealing_terms_are_removed_wherever_they_stand_beside_their_entity(spark):
+    clean = [f"ordinary words number{k} and nothing else here" for k in range(40)]
+    far = "ordinary words and nothing else here " * 3
+    told = [f"Quillfeather 田中 Яна {far}+1 (372) 555-7739 {far}quillfeather" for _ in range(4)]
+    pair = [f"Marrowby {far}m@pair.org" for _ in range(2)]
+    one = [f"Solitary {far}s@one.org"]
+    docs = frame(spark, [*clean, *told, *pair, *one, "Quillfeather alone"])
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all(out[k] == f"[TERM]   {far}[PHONE] {far}[TERM]" for k in range(40, 44))
+    assert [out[k] for k in range(40)] == clean and out[47] == "Quillfeather alone"
+    assert all(out[k].startswith("Marrowby") for k in (44, 45)) and out[46].startswith("Solitary")
+    two = {r.doc_id: r.text for r in pii.sanitised(docs, support=2).collect()}
+    assert all(two[k] == f" {far}[EMAIL]" for k in (44, 45)) and two[46].startswith("Solitary")
+    assert {r.doc_id: r.text for r in pii.sanitised(docs, support=1).collect()}[46] == f" {far}[EMAIL]"
+
+
+def test_words_that_touch_an_entity_are_judged(spark):
+    clean = [f"ordinary words number{k} and nothing else here" for k in range(40)]
+    told = [f"see 田中kay@x.org mail {k}" for k in range(3)]
+    out = {r.doc_id: r.text for r in pii.sanitised(frame(spark, [*clean, *told])).collect()}
+    assert [out[40 + k] for k in range(3)] == [f" [EMAIL]  {k}" for k in range(3)]
+
+
 def test_languages_on_held_out_documents(spark, sf):
     rows = language_id.op10_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.9 * len(rows)
