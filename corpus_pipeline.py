@@ -36,14 +36,24 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of near duplicates, and every document that has none."""
     scratch = Scratch(spark, "copies")
     groups = jaccard_join.near_duplicates(docs, WORDS, *SIMILARITY)
-    # Of each group the row of the least id stays: for most groups the id tells; rows that share it are told apart by text.
-    least = scratch.write(groups.filter("n_shingles > 0").select("doc_id", "cls", "component_id").distinct(), "groups")
-    keep = least.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("cls"))
-    bare = groups.filter("n_shingles = 0").select("doc_id").distinct()
-    ids = scratch.write(keep.select(F.col("component_id").alias("doc_id")).union(bare).distinct(), "ids")
+    # A row for each id, class and component; components can have the same least id, or none, so a root names them.
+    of_id = scratch.write(groups.groupBy("doc_id", "cls", "component_id", "root").agg(F.count("*").alias("n")), "groups")
+    shared = scratch.write(of_id.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "shared")
+    least = of_id.filter("cls IS NOT NULL").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "cls", "root")
+    ids = scratch.write(least.join(shared, "doc_id", "left_anti").filter("doc_id IS NOT NULL").select("doc_id"), "ids")
     few = ids.limit(jaccard_join.FEW + 1).count() <= jaccard_join.FEW
-    rows = docs.alias("d").join((F.broadcast(ids) if few else ids).alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    # The same blanks as those the words are split at.
+    worded = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(*docs.columns).union(docs.filter(~worded))
+    if shared.isEmpty():
+        return rows
+    # Where ids are shared or null the text tells: of a component the row with the least text stays.
+    unsure = docs.filter(worded).join(shared, "doc_id", "left_semi").select(*docs.columns).union(docs.filter(worded & F.col("doc_id").isNull()))
+    named = jaccard_join.with_class(unsure, WORDS)
+    first = lambda row: F.min_by(row, F.col("text")).alias("row")
+    of_class = named.groupBy("doc_id", "cls").agg(first(F.struct(*docs.columns)), F.min("text").alias("text")).alias("c")
+    kept = of_class.join(least.alias("l"), F.col("c.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("c.cls") == F.col("l.cls"))).groupBy("root").agg(first(F.col("row")))
+    return rows.union(kept.select("row.*"))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

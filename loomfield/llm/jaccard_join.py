@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from loomfield.llm.common import Scratch, sliced, table
 from loomfield.llm.components import components
@@ -155,6 +156,20 @@ def classes(docs: DataFrame, words: int, num: int, den: int, hot: np.ndarray, sc
     return full.select("doc_id", "n", "cls"), of_class
 
 
+def with_class(docs: DataFrame, words: int) -> DataFrame:
+    """The rows of ``docs`` with the class ``cls`` of their text's set of shingles, null without words."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(words)
+        for b in sliced(batches):
+            s = [cut(t) for t in b.column(at).to_pylist()]
+            cls = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in s], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, cls], names=[*b.schema.names, "cls"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("cls", BinaryType())]))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of whole regions from batches sorted by ``s``; a region that spans batches is put together."""
     held: list[dict[str, np.ndarray]] = []
@@ -286,7 +301,10 @@ def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int,
 
 
 def near_duplicates(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls): linked are documents with J >= num / den; a row for every row."""
+    """(doc_id, n_shingles, component_id, cls, root): linked are documents with J >= num / den; a row for every row.
+
+    ``root`` names the component, also where ids are shared or null; it is null for texts without words.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members, of_class = classes(docs, words, num, den, sketch(docs, words), scratch)
@@ -319,9 +337,9 @@ def near_duplicates(docs: DataFrame, words: int, num: int, den: int, doc_id: str
     # The least id of a component, from its classes' least ids.
     with_root = of_class.select("cls", "k", "doc_id").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = with_root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = with_root.join(least, "root").select("cls", "component_id")
+    names = with_root.join(least, "root").select("cls", "component_id", "root")
     out = members.join(names, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls", "root")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

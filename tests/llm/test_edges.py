@@ -88,3 +88,16 @@ def test_pipeline_keeps_clean_documents(spark):
     empty = Scratch(spark, "t").root
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_near_copies_go_where_ids_are_null_or_shared(spark):
+    r = random.Random(4)
+    prose = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    a, b, c, d, e = (prose() for _ in range(5))
+    last = lambda w, x: " ".join([*w[:-1], x])
+    kept = [(None, last(a, "a")), (None, last(b, "a")), (3, last(c, "a")), (7, last(d, "a")), (7, last(e, "a")), (None, None), (None, None), (7, " "), (9, ""), (9, "")]
+    gone = [(None, last(a, "b")), (None, last(c, "b")), (7, last(c, "c")), (7, last(d, "b")), (7, last(d, "A")), (8, last(e, "b")), (7, last(e, "a"))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in kept + gone], "doc_id long, text string, lang string")
+    order = lambda rows: sorted(rows, key=str)
+    want = [(i, " ".join(t.split(" ")[:-1] + ["A"]) if i == 7 and t == last(d, "a") else t) for i, t in kept]
+    assert order((x.doc_id, x.text) for x in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == order(want)
