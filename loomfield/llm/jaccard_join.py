@@ -16,7 +16,8 @@ only orders them, and any order gives the same links.
 
 Scale: a document gives about (1 - threshold) of its shingles as rows. Comparisons are few and are
 cut down by folded parity bitmaps, which bound a symmetric difference from below, before whole sets
-are fetched. No region is expanded to all its pairs, and copies take part once.
+are fetched. For components no region is expanded to all its pairs, and copies take part once; the
+links themselves, of ``exact_links``, are compared inside a component too, in blocks of a region.
 
 Defined results: texts without words, and null texts, have no shingles and are linked with nothing.
 A text of fewer words than a shingle has one shingle, the whole sequence. Repeated rows and equal
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -44,6 +45,7 @@ BLOCK = 16
 FEW = 1_000_000
 WORDS_KEPT = 200_000
 PAIRS_AT_ONCE = 2_000_000
+REGION_ROWS = 4096
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -300,6 +302,40 @@ def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int,
     return scratch.write(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long, d double, linked boolean"), f"{name}-pairs")
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """Regions as pairs of blocks of ``REGION_ROWS`` classes, each with a name ``s`` of its own: every pair meets in one.
+
+    Names that collide only add candidates.
+    """
+    block = F.floor((F.row_number().over(Window.partitionBy("s").orderBy("k")) - 1) / F.lit(REGION_ROWS)).cast("long")
+    numbered = rows.withColumn("i", block)
+    last = rows.groupBy("s").agg(F.floor((F.count("*") - 1) / F.lit(REGION_ROWS)).cast("long").alias("last"))
+    dealt = numbered.join(last, "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    return dealt.select(F.xxhash64("s", F.least("i", "j"), F.greatest("i", "j")).alias("s"), "k", "n", "pos").distinct()
+
+
+def exact_links(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: members (doc_id, n_shingles, k) and all pairs (a, b, d) of classes with J >= num / den, a < b.
+
+    Documents of one class are linked with each other too, at distance 0; k is null for texts without
+    words. Pairs inside a component are compared like others, so they can be as many as its classes squared.
+    """
+    scratch = Scratch(docs.sparkSession, "links")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    members, of_class = classes(docs, words, num, den, sketch(docs, words), scratch)
+    rows = blocks(regions(of_class, scratch)).withColumn("label", F.col("k")).withColumn("d", F.lit(float("nan")))
+    pairs = verified(residual_pairs(rows, num, den), of_class, docs, words, num, den, scratch, "links").filter("linked").select("a", "b", "d")
+    return members.join(of_class.select("cls", "k"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "k"), pairs
+
+
+def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k, n_copies, n_links): how many other documents each document of a class is linked with."""
+    size = members.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n_copies"))
+    ends = pairs.select(F.col("a").alias("k"), F.col("b").alias("o")).union(pairs.select("b", "a"))
+    more = ends.join(size.select(F.col("k").alias("o"), F.col("n_copies").alias("m")), "o").groupBy("k").agg(F.sum("m").alias("m"))
+    return size.join(more, "k", "left").select("k", "n_copies", (F.col("n_copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, cls, root): linked are documents with J >= num / den; a row for every row.
 

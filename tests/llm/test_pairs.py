@@ -8,6 +8,7 @@ import pytest
 
 from loomfield.llm.components import components
 from loomfield.llm.common import Scratch
+from loomfield.llm import jaccard_join
 from loomfield.llm.jaccard_join import near_duplicates
 from loomfield.llm.repeats import cut, whole_points, with_spans
 from loomfield.llm.suffix_order import suffix_order
@@ -54,6 +55,24 @@ def test_components_are_those_of_all_pairs(spark, seed, words, num):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 2)
+    base = [f"w{i}" for i in range(120)]
+    group = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 120, 6)]
+    rows = list(enumerate([*texts(2), *group, group[0]]))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    linked = lambda a, b: 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) > 0
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if linked(a, b)}
+    members, pairs = jaccard_join.exact_links(spark.createDataFrame(rows, "doc_id long, text string"), 2, 50, 100)
+    of = {r.doc_id: (r.n_shingles, r.k) for r in members.collect()}
+    met = {(r.a, r.b) for r in pairs.collect()}
+    assert {i: n for i, (n, _) in of.items()} == {i: len(s) for i, s in sets.items()}
+    same = lambda a, b: of[a][1] is not None and (of[a][1] == of[b][1] or (min(of[a][1], of[b][1] if of[b][1] is not None else -1), max(of[a][1], of[b][1] if of[b][1] is not None else -1)) in met)
+    assert {(a, b) for a, b in itertools.combinations(sets, 2) if same(a, b)} == want
+    n = {r.k: r.n_links for r in jaccard_join.link_counts(members, pairs).collect()}
+    assert {i: n[k] for i, (_, k) in of.items() if k is not None} == {i: sum(i in p for p in want) for i, (_, k) in of.items() if k is not None}
+
+
 def test_join_of_nothing_nulls_and_repeats(spark):
     kind = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], kind), 4, 85, 100).count() == 0
