@@ -13,9 +13,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker gets at once, whatever the length of the texts; a longer text comes alone.
+BATCH_BYTES = 4 << 20
+
 _own: dict[str, str] = {}
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES`` at most: rows alone, 10,000 of them, bound no memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a folder of our own only where the setting is absent (tests, local runs)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,6 +36,7 @@ class Scratch:
     """Intermediate tables written as Parquet in the shared folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bounded(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -48,6 +57,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

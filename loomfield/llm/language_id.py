@@ -5,9 +5,10 @@ makes ``clusters`` centroids for each language; a text gets the language of the
 highest cosine, and is rejected where it is much farther from it than texts of its length were in
 training.
 
-Scale: the model is fitted on at most ``per_lang`` labelled rows of each language (a documented
-bound), so what the driver collects and what executors receive do not grow with the corpus. The
-prediction is one narrow Arrow pass, without a shuffle, over whole texts.
+Scale: the model is fitted on at most ``per_lang`` labelled rows of each of the ``most_langs`` most
+frequent labels (documented bounds), so what the driver collects and what executors receive do not
+grow with the corpus. The prediction is one narrow Arrow pass, without a shuffle, over whole texts;
+a text is scored from its own trigrams alone, one at a time, so a worker holds little.
 
 Defined results: null text, empty text and text without a letter give language ``und``, score 0 and
 ``rejected`` true. With no labelled row at all every text gets ``und``. Repeated rows each get their
@@ -24,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomfield.llm.common import table
+from loomfield.llm.common import bounded, sliced, table
 
 BUCKETS = 8192
 PER_LANG = 300
 CLUSTERS = 4
 ROWS = 256
-FEW_LANGS = 10_000
+#: Labels beyond the most frequent ones are not learned, so that a dirty column bounds what is collected.
+MOST_LANGS = 64
 UND = "und"
 
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
@@ -45,23 +46,23 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def trigram_counts(texts: list[str | None]) -> np.ndarray:
-    """Rows of hashed trigram counts; a text without letters has a zero row. A blank is put on both sides."""
-    out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
-    for k, text in enumerate(texts):
-        if has_letter(text):
-            a = _FOLD[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)]
-            h = a[:-2] * _A + a[1:-1] * _B + a[2:] * _C
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
-            out[k] = np.bincount(h >> np.uint32(19), minlength=BUCKETS)
-    return out
+def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed trigrams of a text, with their counts; none without a letter. A blank is put on both sides."""
+    if not has_letter(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    a = _FOLD[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", dtype=np.uint8)]
+    h = a[:-2] * _A + a[1:-1] * _B + a[2:] * _C
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    n = np.bincount(h >> np.uint32(19), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    return at, n[at].astype(np.float32)
 
 
-def normalised(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts) * idf
-    n = np.sqrt(np.einsum("ij,ij->i", v, v))
-    return v / np.maximum(n, 1e-12)[:, None]
+def normalised(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of length one."""
+    v = np.log1p(n) * idf
+    return v / max(float(np.sqrt(v @ v)), 1e-12)
 
 
 def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -88,108 +89,103 @@ class CentroidModel:
         self.langs, self.owner, self.centroids, self.idf, self.floor = langs, owner, centroids, idf, floor
 
     @staticmethod
-    def octave(counts: np.ndarray) -> np.ndarray:
-        return np.log2(np.maximum(counts.sum(1), 1)).astype(int).clip(0, 31)
+    def octave(total: float) -> int:
+        return min(31, int(np.log2(max(total, 1))))
 
     @classmethod
-    def fit(cls, counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS, slack: float = 0.5) -> CentroidModel:
-        keep = counts.sum(1) > 0
-        counts, labels = counts[keep], [x for x, k in zip(labels, keep, strict=True) if k]
-        df = (counts > 0).sum(0)
-        idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
-        v = normalised(counts, idf)
-        langs = sorted(set(labels))
-        at = np.array([langs.index(x) for x in labels], dtype=int)
-        groups = [spherical_kmeans(v[at == j], clusters) for j in range(len(langs))]
+    def fit(cls, texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], clusters: int = CLUSTERS, slack: float = 0.5) -> CentroidModel:
+        """``texts``: the trigrams of each text, as places and counts; those without any are left out."""
+        kept = [(x, y) for x, y in zip(texts, labels, strict=True) if len(x[0])]
+        df = np.zeros(BUCKETS)
+        for (at, _), _ in kept:
+            df[at] += 1
+        idf = (np.log((1 + len(kept)) / (1 + df)) + 1).astype(np.float32)
+        langs = sorted({y for _, y in kept})
+        groups, floor = [], np.full(32, np.nan)
+        of_lang = {x: [t for t, y in kept if y == x] for x in langs}
+        for x in langs:
+            v = np.zeros((len(of_lang[x]), BUCKETS), np.float32)
+            for k, (at, n) in enumerate(of_lang[x]):
+                v[k, at] = normalised(n, idf[at])
+            groups.append(spherical_kmeans(v, clusters))
         owner = np.repeat(np.arange(len(langs)), [len(g) for g in groups])
-        centroids = np.concatenate(groups) if groups else np.zeros((0, BUCKETS), np.float32)
-        floor = np.zeros(32, np.float32)
-        if len(v):
-            # The floor of an octave: slack times the least cosine of training texts that long or shorter.
-            # Below 64 trigrams a distance says little, so there only a text that shares nothing is rejected.
-            best, octave = (v @ centroids.T).max(1), cls.octave(counts)
-            floor[:] = 1e-6
-            for o in range(6, 32):
-                if (at_most := (octave >= 6) & (octave <= o)).any():
-                    floor[o] = slack * best[at_most].min()
-        return cls(langs, owner, centroids.astype(np.float32), idf, floor)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        counts = trigram_counts(texts)
-        none = counts.sum(1) == 0
-        if not self.langs:
-            return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cos = normalised(counts, self.idf) @ self.centroids.T
-        at = cos.argmax(1)
-        score = np.where(none, 0.0, cos[np.arange(len(at)), at].clip(0, 1)).astype(float)
-        rejected = none | (score < self.floor[self.octave(counts)])
-        return [UND if z else self.langs[self.owner[j]] for z, j in zip(none, at, strict=True)], score, rejected
-
-
-def training_sample(docs: DataFrame, text: str, lang: str, key: Column, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` rows of each language, those of the least hash of ``key``.
-
-    A first pass counts the languages; a hash threshold then lets about twice the bound pass, so that
-    the window that cuts to the bound never holds more, whatever share of the rows a language has.
+        model = cls(langs, owner, np.concatenate(groups) if groups else np.zeros((0, BUCKETS), np.float32), idf, floor)
+        # The least cosine of the training texts of an octave and its neighbours, times slack, is the floor there;
+        # octaves without training texts take that of the next shorter one.
+        best = [(cls.octave(n.sum()), model.best(at, n)[1]) for (at, n), _ in kept]
+        for o in range(32):
+            near = [c for k, c in best if abs(k - o) <= 1]
+            floor[o] = slack * min(near) if near else floor[o - 1] if o and floor[o - 1] == floor[o - 1] else 0.0
+        return model
+
+    def best(self, at: np.ndarray, n: np.ndarray) -> tuple[int, float]:
+        """The nearest centroid and its cosine: only the columns of the text's own trigrams are read."""
+        cos = self.centroids[:, at] @ normalised(n, self.idf[at])
+        k = int(cos.argmax())
+        return k, float(min(max(cos[k], 0.0), 1.0))
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether it is rejected: nothing to judge, no cosine above 0, or one below the floor."""
+        at, n = trigrams(text)
+        if not len(at) or not self.langs:
+            return UND, 0.0, True
+        k, score = self.best(at, n)
+        return self.langs[self.owner[k]], score, score <= 0.0 or score < self.floor[self.octave(n.sum())]
+
+
+def training_sample(docs: DataFrame, text: str, lang: str, key: Column, per_lang: int, most_langs: int) -> DataFrame:
+    """At most ``per_lang`` rows of each of the ``most_langs`` most frequent labels, those of the least hash of ``key``.
+
+    A first pass counts the labels; a hash threshold then lets about twice the bound pass, so that
+    the window that cuts to the bound never holds more, whatever share of the rows a label has.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.abs(F.xxhash64(key) % F.lit(1 << 40)).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    seen = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
-    # Labels are few; where a dirty column has many, the counts are not broadcast.
-    small = seen.limit(FEW_LANGS + 1).count() <= FEW_LANGS
-    near = rows.join(F.broadcast(seen) if small else seen, "lang").filter(F.col("h") * F.col("count") <= F.lit(2 * per_lang + 50) * F.lit(1 << 40).cast("double"))
+    seen = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    near = rows.join(F.broadcast(seen), "lang").filter(F.col("h") * F.col("count") <= F.lit(2 * per_lang + 50) * F.lit(1 << 40).cast("double"))
     w = Window.partitionBy("lang").orderBy("h", F.sha2("text", 256))
     return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_lang).select("text", "lang", "h")
 
 
-def fit(docs: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> CentroidModel:
-    """Fit on a bounded sample: the executors make the trigram counts, the driver gets ``per_lang`` sparse rows a language."""
-    sample = training_sample(docs, text, lang, key, per_lang)
+def fit(
+    docs: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, clusters: int = CLUSTERS, most_langs: int = MOST_LANGS
+) -> CentroidModel:
+    """Fit on a bounded sample: executors count the trigrams, the driver gets ``per_lang`` sparse rows of ``most_langs`` labels at most."""
+    bounded(docs.sparkSession)
+    sample = training_sample(docs, text, lang, key, per_lang, most_langs)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                c = trigram_counts(part.column(0).to_pylist())
-                at = [np.flatnonzero(x) for x in c]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": part.column(1),
-                        "h": part.column(2),
-                        "i": pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()),
-                        "n": pa.array([x[j].astype("<f4").tobytes() for x, j in zip(c, at, strict=True)], pa.binary()),
-                    }
-                )
-
-    rows = sample.mapInArrow(vectors, "lang string, h long, i binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], bytes(r["i"]), bytes(r["n"])))
-    counts = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        counts[k, np.frombuffer(r["i"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    return CentroidModel.fit(counts, [r["lang"] for r in rows], clusters)
+        for b in sliced(batches):
+            found = [trigrams(x) for x in b.column(0).to_pylist()]
+            at = pa.array([x.astype("<u2").tobytes() for x, _ in found], pa.binary())
+            n = pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), at, n], names=["lang", "h", "at", "n"])
+
+    rows = [(r["lang"], r["h"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(vectors, "lang string, h long, at binary, n binary").collect()]
+    rows.sort()
+    return CentroidModel.fit([(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<f4")) for _, _, at, n in rows], [r[0] for r in rows], clusters)
 
 
 def identify(docs: DataFrame, model: CentroidModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected`` (replacing columns of those names)."""
+    """All columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected`` (replacing columns of those names).
+
+    Only the text goes to the Python workers, and only the three results come back.
+    """
+    bounded(docs.sparkSession)
     added = ("lang_pred", "score", "rejected")
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judge(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                lang, score, rejected = m.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                    names=[*part.schema.names, *added],
-                )
-
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields])
-    return docs.mapInArrow(run, schema)
+        found = [m.predict(x) for lo in range(0, len(texts), ROWS) for x in texts.slice(lo, ROWS).to_pylist()]
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=added)
+
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judge(F.col(f"`{text}`")).alias("judged"))
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(f"judged.{c}").alias(c) for c in added])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
