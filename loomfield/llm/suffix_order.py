@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import Scratch, sliced
+from loomfield.llm.common import Scratch
 
 STRINGS = "sid long, v array<long>, c array<long>"
 
@@ -69,6 +69,18 @@ def cumulative(rows: DataFrame, keys: list[str], tag: str, scratch: Scratch, nam
     return out.join(F.broadcast(shift), "part").select(*cols, (F.col("n0") + F.col("o0")).alias("n0"), (F.col("n1") + F.col("o1")).alias("n1"))
 
 
+def flat(lists: pa.Array) -> np.ndarray:
+    """The values of a column of lists, end to end; null lists have none."""
+    return lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def places(sid: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value of a column of lists: its row's sid, its place in the list, and how many are left from it on."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(sid.to_numpy(zero_copy_only=False), n), i, np.repeat(n, n) - i
+
+
 def _arrays(rows: DataFrame, by: list[str], *cols: str) -> DataFrame:
     """The columns of ``rows`` (by, i, cols) as arrays in the order of i."""
     sorted_rows = F.array_sort(F.collect_list(F.struct("i", *cols)))
@@ -80,16 +92,13 @@ def suffix_order(strings: DataFrame, limit: int, scratch: Scratch, level: int =
     """(sid, less): for each position of each string the number of suffixes of the table that are smaller."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            out = []
-            for sid, v, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                v, c = np.array([*v, -1, -1], np.int64), np.array([*c, 0, 0], np.int64)
-                i = np.arange(len(v) - 2)
-                i = i[i % 3 > 0]
-                out.append(np.stack([np.full(len(i), sid), i, v[i], v[i + 1], v[i + 2], c[i] + c[i + 1] + c[i + 2]], 1))
-            if out:
-                m = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(m[:, k]) for k in range(6)], names=["sid", "i", "t0", "t1", "t2", "cover"])
+        for b in batches:
+            sid, i, left = places(b.column(0), b.column(1))
+            v, c = (np.append(flat(b.column(k)), [-1, -1]) for k in (1, 2))
+            j = np.flatnonzero(i % 3 > 0)
+            one, two = left[j] > 1, left[j] > 2
+            cover = c[j] + np.where(one, c[j + 1], 0) + np.where(two, c[j + 2], 0)
+            yield pa.RecordBatch.from_pydict({"sid": sid[j], "i": i[j], "t0": v[j], "t1": np.where(one, v[j + 1], -1), "t2": np.where(two, v[j + 2], -1), "cover": cover})
 
     triples = scratch.write(strings.select("sid", "v", "c").mapInArrow(cut, "sid long, i long, t0 long, t1 long, t2 long, cover long"), f"triples-{level}")
     counted = triples.groupBy("t0", "t1", "t2").agg(F.count("*").alias("n"), F.first("cover").alias("cover")).withColumn("tag", F.lit(0))
@@ -110,20 +119,16 @@ def suffix_order(strings: DataFrame, limit: int, scratch: Scratch, level: int =
         """Rows to merge positions 0 with positions ``second``: symbols, then the rank of the sampled suffix after them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches):
-                out = []
-                for sid, v, r1, r2 in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    n = len(v)
-                    rank = np.full(n + 3, -1, np.int64)
-                    rank[1:n:3], rank[2:n:3] = r1 or [], r2 or []
-                    v = np.array([*v, -1, -1], np.int64)
-                    i = np.arange(n)
-                    i = i[(i % 3 == 0) | (i % 3 == second)]
-                    after = v[i + 1] if second == 2 else np.zeros(len(i), np.int64)
-                    out.append(np.stack([np.full(len(i), sid), i, v[i], after, rank[i + second], (i % 3 > 0).astype(np.int64), rank[i]], 1))
-                if out:
-                    m = np.concatenate(out)
-                    yield pa.RecordBatch.from_arrays([pa.array(m[:, k]) for k in range(7)], names=["sid", "i", "k0", "k1", "k2", "tag", "own"])
+            for b in batches:
+                sid, i, left = places(b.column(0), b.column(1))
+                v = np.append(flat(b.column(1)), -1)
+                rank = np.full(len(i) + 3, -1, np.int64)
+                for m in (1, 2):
+                    rank[np.flatnonzero(i % 3 == m)] = flat(b.column(1 + m))
+                j = np.flatnonzero((i % 3 == 0) | (i % 3 == second))
+                after = np.where(left[j] > 1, v[j + 1], -1) if second == 2 else np.zeros(len(j), np.int64)
+                then = np.where(left[j] > second, rank[j + second], -1)
+                yield pa.RecordBatch.from_pydict({"sid": sid[j], "i": i[j], "k0": v[j], "k1": after, "k2": then, "tag": (i[j] % 3 > 0).astype(np.int64), "own": rank[j]})
 
         return both.mapInArrow(run, "sid long, i long, k0 long, k1 long, k2 long, tag long, own long")
 
