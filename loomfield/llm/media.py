@@ -8,7 +8,7 @@ Scale: one narrow Arrow pass over whole values, a file at a time, with no shuffl
 
 Defined results: null and empty payloads are stored as one block of filling. A file that is cut
 short, or in which a box claims more bytes than its parent has, raises ``ValueError`` in ``walk``;
-``media_columns`` gives null features for it and a message in ``error``. Repeated rows each give a
+``media_columns`` gives null ``tracks`` for it and a message in ``error``, and so for files in fragments. Repeated rows each give a
 row; equal payloads give equal files. Other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import arrow_rows, table
+from loomfield.llm.common import bounded, sliced, table
 
 BLOCK = 576
 RATE = 8000
@@ -143,6 +143,8 @@ def inspect(data: bytes) -> list[Track]:
 
     for path, at, end in walk(data):
         kind, inside = path[-1], path[-2] if len(path) > 1 else b""
+        if kind == b"moof":
+            raise ValueError("its samples are in fragments, which have no sample tables")
         if kind == b"trak":
             close()
             tracks.append(Track())
@@ -177,25 +179,32 @@ def filled(text: str | None, block: int = BLOCK) -> tuple[int, bytes]:
 
 
 def media_columns(media: DataFrame, column: str, carry: list[str]) -> DataFrame:
-    """Codec, duration in seconds and key-frame byte ranges of the first track of each file in ``column``."""
+    """Of each file in ``column`` the tracks: handler, codec, duration in seconds and key-frame byte ranges."""
     kinds = {f.name: f.dataType for f in media.schema.fields}
+    bounded(media.sparkSession)
     media = media.select(*carry, F.col(column).alias("_media"))
+    ranges = pa.list_(pa.struct([("at", pa.int64()), ("bytes", pa.int64())]))
+    kind = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("key_frames", ranges)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
+        for b in sliced(batches):
+            tracks, errors = [], []
             for data in b.column(len(carry)).to_pylist():
                 try:
-                    t = inspect(data or b"")[0]
-                    rows.append((t.codec, t.duration / max(t.timescale, 1), [{"at": a, "bytes": n} for a, n in t.ranges(True)], None))
+                    found = inspect(data or b"")
+                    if not found:
+                        raise ValueError("it has no track")
+                    row = [{"handler": t.handler, "codec": t.codec, "seconds": t.duration / max(t.timescale, 1), "key_frames": [{"at": a, "bytes": n} for a, n in t.ranges(True)]} for t in found]
+                    tracks.append(row)
+                    errors.append(None)
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((None, None, None, f"not a readable file: {e}"))
-            ranges = pa.list_(pa.struct([("at", pa.int64()), ("bytes", pa.int64())]))
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), ranges, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*carry, "codec", "seconds", "key_frames", "error"])
+                    tracks.append(None)
+                    errors.append(f"not a readable file: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tracks, kind), pa.array(errors, pa.string())], names=[*carry, "tracks", "error"])
 
     head = "".join(f"`{c}` {kinds[c].simpleString()}, " for c in carry)
-    return media.mapInArrow(run, head + "codec string, seconds double, key_frames array<struct<at: bigint, bytes: bigint>>, error string")
+    track = "struct<handler: string, codec: string, seconds: double, key_frames: array<struct<at: bigint, bytes: bigint>>>"
+    return media.mapInArrow(run, head + f"tracks array<{track}>, error string")
 
 
 FIELDS = (("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
@@ -218,9 +227,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def fn(cols: dict) -> dict:
-        rows = [digest(x) for x in cols["text"].to_pylist()]
-        return {"doc_id": cols["doc_id"]} | {name: [r[k] for r in rows] for k, (name, _) in enumerate(FIELDS)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows = [digest(x) for x in b.column(1).to_pylist()]
+            made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FIELDS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", *(name for name, _ in FIELDS)])
 
     spec = f"doc_id {id_kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return arrow_rows(docs, spec, pa.schema([("doc_id", pa.int64() if id_kind == "bigint" else pa.string()), *FIELDS]), fn)
+    return docs.mapInArrow(run, spec)
