@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a Python worker gets at once, whatever the length of the texts; a longer text comes alone.
 BATCH_BYTES = 4 << 20
+#: Tasks that write an intermediate table, for each core of the session.
+TASKS = 4
 
 _own: dict[str, str] = {}
 
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomfield-"))
 
 
@@ -44,8 +48,12 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once, read back with the known schema (an empty result reads back too)."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write once, read back with the known schema (an empty result reads back too).
+
+        Small shuffle partitions are taken together to ``TASKS`` for each core: a file costs far more than its rows.
+        """
+        tasks = TASKS * self.spark.sparkContext.defaultParallelism
+        df.coalesce(tasks).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -66,17 +74,3 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
-
-
-def arrow_rows(
-    df: DataFrame, schema: str, arrow_schema: pa.Schema, fn: Callable[[dict[str, list]], dict[str, list]]
-) -> DataFrame:
-    """``mapInArrow`` over column dictionaries: ``fn`` gets a batch as lists and returns lists of equal length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            if batch.num_rows:
-                out = fn({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
-
-    return df.mapInArrow(run, schema)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.common import Scratch
 
+#: Paths halve in a round, so no table that can be stored needs as many.
+ROUNDS = 64
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (u, v): each node's neighbours above it (large) or not above it (small) go to its least neighbour."""
@@ -27,7 +30,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); root is the least node of its component."""
     now = scratch.write(links.select("u", "v").filter("u != v").distinct(), f"{name}-0")
     seen = None
-    for k in range(1, 64):
+    for k in range(1, ROUNDS + 1):
         now = scratch.write(_star(_star(now, True), False), f"{name}-{k}")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
@@ -35,5 +38,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         seen = tuple(mark)
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
