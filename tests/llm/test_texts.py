@@ -1,10 +1,16 @@
 """Text operators against brute force, libraries and exact round trips."""
 
+import hashlib
+import random
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomfield.llm import language_id, media, packing, piece_codec, pii, secret_scan
 from loomfield.llm.common import Scratch
@@ -67,8 +73,114 @@ def test_media_round_trip(spark):
         list(media.walk(media.store(b"a" * 576)[:-1]))
     files = spark.createDataFrame([(1, bytearray(media.store(b"a" * 1152))), (2, bytearray(b"junk")), (3, None)], "id long, file binary")
     got = {r.id: r for r in media.media_columns(files, "file", ["id"]).collect()}
-    assert got[1].codec == "raw " and got[1].seconds == 1152 / 8000 and got[1].key_frames[0].bytes == 576
-    assert got[2].codec is None and got[2].error and got[3].error
+    assert [(t.handler, t.codec, t.seconds, t.key_frames[0].bytes) for t in got[1].tracks] == [("soun", "raw ", 1152 / 8000, 576)]
+    assert got[2].tracks is None and got[2].error and got[3].error
+    two = media.store(b"a" * 576)
+    moov = two.index(b"moov") - 4
+    trak = two[two.index(b"trak") - 4 : moov + int.from_bytes(two[moov : moov + 4])]
+    doubled = two[:moov] + (8 + len(two[moov + 8 : two.index(b"trak") - 4]) + 2 * len(trak)).to_bytes(4) + b"moov" + two[moov + 8 : two.index(b"trak") - 4] + 2 * trak
+    assert len(media.inspect(doubled)) == 2
+    with pytest.raises(ValueError, match="fragments"):
+        media.inspect(two + media.box(b"moof"))
+
+
+def sample_bytes(data: bytes) -> bytes:
+    """The samples of a file's only track, read by a reader of its own that knows just the tables' layout."""
+    u32 = lambda b, at: int.from_bytes(b[at : at + 4])
+
+    def child(b: bytes, kind: bytes) -> bytes:
+        at = 0
+        while at < len(b):
+            size, head = u32(b, at), 8
+            if size == 1:
+                size, head = int.from_bytes(b[at + 8 : at + 16]), 16
+            if b[at + 4 : at + 8] == kind:
+                return b[at + head : at + size]
+            at += size
+        raise KeyError(kind)
+
+    table = data
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        table = child(table, kind)
+    chunks, runs, sizes = child(table, b"co64"), child(table, b"stsc"), child(table, b"stsz")
+    first = {u32(runs, 8 + 12 * k): u32(runs, 12 + 12 * k) for k in range(u32(runs, 4))}
+    out, per, done = [], 0, 0
+    for c in range(u32(chunks, 4)):
+        per = first.get(c + 1, per)
+        at = int.from_bytes(chunks[8 + 8 * c : 16 + 8 * c])
+        out.append(data[at : at + per * u32(sizes, 4)])
+        done += per
+    assert done == u32(sizes, 8)
+    return b"".join(out)
+
+
+def documents(spark, path, texts, more: str = "") -> str:
+    """A table of documents with these texts, ids from 0, and columns whose names the queries use too."""
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _text string, n_tokens long")
+    df.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_the_media_query_is_what_an_independent_reader_reads(spark, tmp_path):
+    texts = [*ODD, "z" * 576, "z" * 577, "y" * 30000, "y" * 30000]
+    got = {r.doc_id: r for r in media.op5_media_columns(spark, documents(spark, tmp_path, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        data = media.store(payload)
+        assert sample_bytes(data) == payload
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest())
+        assert tuple(got[i])[1:7] == want and got[i].feature
+    assert got[len(texts) - 1].feature == got[len(texts) - 2].feature
+
+
+def test_the_packing_query_is_the_librarys_ids(spark, tmp_path):
+    texts = [*ODD, *(f"Some words of document {k}. " * (k % 90) for k in range(60))]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    rows = packing.op2_packing(spark, documents(spark, tmp_path, texts)).collect()
+    fill: dict[int, list] = {}
+    for r in rows:
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert len(ids) == r.length and r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    places = sorted((r.doc_id, r.start, r.length) for r in rows)
+    for i, ids in want.items():
+        own = [(s, n) for d, s, n in places if d == i]
+        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == len(ids)
+    assert all([o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 1024 for p in fill.values())
+    assert sum(sum(n for _, n in p) < 1024 for p in fill.values()) <= 1
+
+
+def test_after_a_difference_the_library_encodes(monkeypatch):
+    ids = packing.Ids()
+    want = np.array(ids.library.encode("some other words").ids, "<u2").tobytes()
+
+    class Wrong:
+        def encode_to_numpy(self, text, **_):
+            return np.array([1, 2, 3], np.uint32)
+
+    ids.encoder = Wrong()
+    assert ids.encode("some other words") == want and ids.differs and ids.encode("some other words") == want
+
+
+def test_the_codec_query_is_the_librarys(spark, tmp_path):
+    texts = [*ODD, "one two  three", " lead", "trail ", "▁", "\x00\x01", "naïve " * 50, "\U0010ffff", "a\nb\nc"]
+    sp = piece_codec.processor()
+    got = {r.doc_id: tuple(r)[1:] for r in piece_codec.op8_piece_codec(spark, documents(spark, tmp_path, texts)).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "", add_eos=True)
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+
+
+def test_the_agenda_in_rounds_is_that_of_a_heap():
+    agenda, r = piece_codec.PieceAgenda(), random.Random(2)
+    words = ["▁" + "".join(r.choice("abcdefghinorstü.\n😀▁") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    assert agenda.encode_all(words) == [agenda.encode(w) for w in words]
+    codec = piece_codec.PieceCodec()
+    codec.agenda.encode_all = lambda ws: [[0] for _ in ws]
+    assert codec.encode(pa.array(["hello there"])) == [codec.sp.encode("hello there", add_eos=True)]
 
 
 SECRETS = [
@@ -160,6 +272,39 @@ def test_words_that_touch_an_entity_are_judged(spark):
     assert [out[40 + k] for k in range(3)] == [f" [EMAIL]  {k}" for k in range(3)]
 
 
+def test_languages_are_those_of_the_nearest_centroid(spark, sf):
+    """All texts against all centroids, with whole vectors in double precision."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, F.col("doc_id"))
+    assert len(model.langs) == docs.select("lang").dropna().distinct().count() and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    out = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.collect():
+        got, v = out[r.doc_id], np.zeros(language_id.BUCKETS)
+        text = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in (r.text or "").encode()) + b" "
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
+            continue
+        for k in range(len(text) - 2):
+            h = (text[k] * 0x9E3779B1 + text[k + 1] * 0x85EBCA77 + text[k + 2] * 0xC2B2AE3D) & 0xFFFFFFFF
+            v[(((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 19] += 1
+        total = v.sum()
+        v = np.log1p(v) * model.idf
+        cos = model.centroids.astype(float) @ (v / np.linalg.norm(v))
+        assert abs(got.score - min(1, cos.max())) < 1e-4
+        near = {model.langs[model.owner[k]] for k in np.flatnonzero(cos > cos.max() - 1e-5)}
+        assert got.lang_pred in near
+        assert got.rejected == (got.score < model.floor[language_id.CentroidModel.octave(total)] or got.score <= 0)
+
+
+def test_labels_beyond_the_bound_are_not_learned(spark):
+    rows = [(i, f"some words {i} and more", f"l{i % 40}" if i % 2 else "main") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("doc_id"), most_langs=3, per_lang=2)
+    assert len(model.langs) == 3 and "main" in model.langs
+    clash = docs.select("*", F.lit(1).alias("row"), F.lit(2).alias("judged"), F.lit(3).alias("score"))
+    assert language_id.identify(clash, model).columns == ["doc_id", "text", "lang", "row", "judged", "lang_pred", "score", "rejected"]
+
+
 def test_languages_on_held_out_documents(spark, sf):
     rows = language_id.op10_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.9 * len(rows)
