@@ -12,14 +12,11 @@ empty text. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import jaccard_join, language_id, packing, pii, repeats
-from loomfield.llm.common import Scratch, sliced
+from loomfield.llm.common import Scratch
 
 WORDS, SIMILARITY = 5, (80, 100)
 #: Bytes of a passage that may stand only once; passages of 50 words are longer than this.
@@ -56,28 +53,20 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return rows.union(kept.select("row.*"))
 
 
-def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the passages that stand more than once, cut at whole code points."""
-    marked = repeats.with_spans(docs, PASSAGE).select(*docs.columns, "raw", "spans")
-    at, own = docs.columns.index("text"), len(docs.columns)
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            text = [
-                t if not spans else repeats.cut(raw, repeats.whole_points(raw, spans)).decode("utf-8")
-                for t, raw, spans in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), b.column(own + 1).to_pylist(), strict=True)
-            ]
-            cols = [pa.array(text, pa.string()) if k == at else b.column(k) for k in range(own)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:own])
 
-    cleaned = marked.mapInArrow(run, docs.schema)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages that stand more than once, cut at whole code points."""
+    rows = repeats.remaining(repeats.with_spans(docs, PASSAGE), points=True)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.decode("kept", "UTF-8"))
+    return _recounted(rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that reveal it, masked."""
-    clean = pii.sanitised(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    return _recounted(pii.sanitised(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
