@@ -4,6 +4,10 @@ import datetime
 import decimal
 import numbers
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -58,6 +62,23 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_the_training_part(tmp_path):
+    """The rest stands alone: without the subpackage the entry imports and lists the other queries."""
+    root = Path(__file__).resolve().parent.parent
+    for x in ("loomfield", "__spark_entry__.py", "corpus_pipeline.py"):
+        of = root / x
+        (shutil.copytree if of.is_dir() else shutil.copy)(of, tmp_path / x)
+    shutil.rmtree(tmp_path / "loomfield" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    n = len(catalogue.queries())
+    assert run().stdout.split() == [str(n), str(n), "False"]
+    (tmp_path / "loomfield" / "llm" / "__pycache__").mkdir(parents=True)
+    assert run().stdout.split() == [str(n), str(n), "False"]
+    (tmp_path / "corpus_pipeline.py").unlink()
+    assert run().stdout.split() == [str(n), str(n), "False"]
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
