@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import differs
+from loomfield.session import checkpointed
 
 
 def _keys(df: DataFrame, order: Sequence[Column], tie: Sequence[str]) -> list[Column]:
@@ -43,19 +44,20 @@ def flag_exists(df: DataFrame, parent: DataFrame, on: dict[str, str], flag: str)
 def allocate_keys(df: DataFrame, key: str, order: Sequence[str], start: int = 0) -> DataFrame:
     """A dense surrogate key from ``start`` + 1 in the order of ``order``, without a single-partition window.
 
-    Rows are range-partitioned; each partition's count, one number each, gives the offset of the next.
+    Rows are range-partitioned, sorted and written once: the bounds of ranges are sampled anew whenever
+    such a plan runs, so counts and rows must come from one run. The partitions' counts, one number
+    each, then give the offset of the next; the place in its partition is in the id of every row.
     """
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_p", F.spark_partition_id())
-    counts = sorted((r["_p"], r["count"]) for r in dealt.groupBy("_p").count().collect())
+    by = [F.col(c).asc_nulls_last() for c in order]
+    rows = checkpointed(df.repartitionByRange(*by).sortWithinPartitions(*by)).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.select(F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_place"), *df.columns)
     offsets, at = [], start
-    for p, n in counts:
-        offsets.append((p, at))
+    for part, n in sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect()):
+        offsets.append((part, at))
         at += n
-    shift = spark.createDataFrame(offsets, "_p int, _at long")
-    w = Window.partitionBy("_p").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    ranked = dealt.withColumn("_rn", F.row_number().over(w))
-    return ranked.join(F.broadcast(shift), "_p").withColumn(key, F.col("_at") + F.col("_rn")).drop("_p", "_at", "_rn").select(key, *df.columns)
+    shift = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    keyed = rows.join(F.broadcast(shift), "_part", "left")
+    return keyed.select((F.col("_before") + F.col("_place") + 1).alias(key), *df.columns)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], change: Sequence[str] | None = None, update: Sequence[str] | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Defaults that hold on one machine and on a cluster; shuffle partitions follow the data through adaptive execution.
 SETTINGS = {
@@ -17,3 +19,14 @@ SETTINGS = {
 def session(name: str = "loomfield", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared checkpoint folder with their partitions and their order, and read from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomfield-"))
+    return df.checkpoint()
