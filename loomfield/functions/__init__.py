@@ -36,9 +36,20 @@ def money(c: Column, precision: int = 12) -> Column:
     return F.round(c.cast(f"decimal({precision + 6},6)"), 2).cast(f"decimal({precision},2)")
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Second boundaries passed from start to end; null where either is."""
+    return F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))
+
+
 def row_hash(*cols: Column) -> Column:
-    """SHA-256 of the columns as text; nulls have a mark of their own, so no row's hash is null."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit(MISSING)) for c in cols]), 256)
+    """SHA-256 of the columns as text; nulls have a mark of their own, and cells cannot run into each other."""
+    def escaped(c: Column) -> Column:
+        c = c.cast("string")
+        for mark in ("\\", "|", MISSING):
+            c = F.replace(c, F.lit(mark), F.lit(f"\\{mark}"))
+        return c
+
+    return F.sha2(F.concat_ws("|", *[F.coalesce(escaped(c), F.lit(MISSING)) for c in cols]), 256)
 
 
 def pass_rate(total: Column, failed: Column) -> Column:

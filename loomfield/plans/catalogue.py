@@ -29,11 +29,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _register() -> None:
+    """Import the modules whose queries use this one's registry."""
+    from loomfield.plans import retail  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_SQL)
 
 
@@ -356,11 +363,33 @@ def dedup_log(spark, sf):
     return out
 
 
-_REFS = {"REF_ITEM_TO_ORDER": ("lineitem", "l_orderkey", "orders", "o_orderkey"), "REF_ITEM_TO_PART": ("lineitem", "l_partkey", "part", "p_partkey"), "REF_ITEM_TO_SUPPLIER": ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-         "REF_ORDER_TO_CUSTOMER": ("orders", "o_custkey", "customer", "c_custkey"), "REF_EVENT_TO_CUSTOMER": ("events", "user_id", "customer", "c_custkey"), "REF_LABEL_TO_DOCUMENT": ("labels", "doc_id", "orders", "o_orderkey")}
+#: Child table and key, parent table and key.
+_REFS = {
+    "REF_ITEM_TO_ORDER": ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    "REF_ITEM_TO_PART": ("lineitem", "l_partkey", "part", "p_partkey"),
+    "REF_ITEM_TO_SUPPLIER": ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    "REF_ORDER_TO_CUSTOMER": ("orders", "o_custkey", "customer", "c_custkey"),
+    "REF_EVENT_TO_CUSTOMER": ("events", "user_id", "customer", "c_custkey"),
+    "REF_LABEL_TO_DOCUMENT": ("labels", "doc_id", "documents", "doc_id"),
+}
+
 
+def _ref(name: str, child: str, missing: str) -> str:
+    return log_sql(name, child, "REF_INTEGRITY", f"(SELECT {missing} AS missing FROM {child})", "missing")
 
-@query(" UNION ALL ".join(log_sql(n, t, "REF_INTEGRITY", f"(SELECT EXISTS (SELECT 1 FROM {p} WHERE {p}.{pk} = {t}.{k}) AS ok FROM {t})", "NOT ok") for n, (t, k, p, pk) in _REFS.items()))
+
+@query(
+    " UNION ALL ".join(
+        (
+            _ref("REF_ITEM_TO_ORDER", "lineitem", "l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
+            _ref("REF_ITEM_TO_PART", "lineitem", "l_partkey NOT IN (SELECT p_partkey FROM part)"),
+            _ref("REF_ITEM_TO_SUPPLIER", "lineitem", "l_suppkey NOT IN (SELECT s_suppkey FROM supplier)"),
+            _ref("REF_ORDER_TO_CUSTOMER", "orders", "o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+            _ref("REF_EVENT_TO_CUSTOMER", "events", "user_id NOT IN (SELECT c_custkey FROM customer)"),
+            _ref("REF_LABEL_TO_DOCUMENT", "labels", "doc_id NOT IN (SELECT d.doc_id FROM documents d)"),
+        )
+    )
+)
 def ref_integrity_log(spark, sf):
     out = None
     for n, (t, k, p, pk) in _REFS.items():
@@ -370,27 +399,65 @@ def ref_integrity_log(spark, sf):
     return out
 
 
-_VALID = {"orders": "o_orderdate IS NULL OR o_orderstatus NOT IN ('F', 'O') OR o_totalprice <= 0", "lineitem": "l_extendedprice <= 0 OR l_discount < 0 OR l_linenumber < 1 OR l_quantity > 49", "customer": "c_custkey IS NULL OR c_acctbal < 0",
-          "part": "p_size IS NOT NULL AND p_size <= 0", "supplier": "s_suppkey IS NULL", "labels": "NOT (quality BETWEEN 0 AND 1) OR toxic NOT IN (0, 1)", "events": "event_type NOT IN ('view', 'click', 'purchase', 'signup')"}
+def _invalid() -> dict:
+    """What makes a row invalid, by table."""
+    return {
+        "orders": C("o_orderdate").isNull() | ~C("o_orderstatus").isin("F", "O") | (C("o_totalprice") <= 0),
+        "lineitem": (C("l_extendedprice") <= 0) | (C("l_discount") < 0) | (C("l_linenumber") < 1) | (C("l_quantity") > 49),
+        "customer": C("c_custkey").isNull() | (C("c_acctbal") < 0),
+        "part": C("p_size") <= 0,
+        "supplier": C("s_suppkey").isNull(),
+        "labels": ~C("quality").between(0, 1) | ~C("toxic").isin(0, 1),
+        "events": ~C("event_type").isin("view", "click", "purchase", "signup"),
+    }
+
+
+_VALID_SQL = {
+    "orders": "o_orderdate IS NULL OR (o_orderstatus <> 'F' AND o_orderstatus <> 'O') OR o_totalprice <= 0",
+    "lineitem": "l_extendedprice <= 0 OR l_discount < 0 OR l_linenumber < 1 OR l_quantity > 49",
+    "customer": "c_custkey IS NULL OR c_acctbal < 0",
+    "part": "p_size IS NOT NULL AND p_size <= 0",
+    "supplier": "s_suppkey IS NULL",
+    "labels": "quality < 0 OR quality > 1 OR toxic < 0 OR toxic > 1",
+    "events": "event_type = 'error'",
+}
 
 
-@query(" UNION ALL ".join(log_sql(f"VALID_{t.upper()}", t, "VALIDITY", t, p) for t, p in _VALID.items()))
+@query(" UNION ALL ".join(log_sql(f"VALID_{t.upper()}", t, "VALIDITY", t, p) for t, p in _VALID_SQL.items()))
 def validity_log(spark, sf):
     out = None
-    for t, p in _VALID.items():
-        one = log_row(read(spark, sf, t), f"VALID_{t.upper()}", t, "VALIDITY", F.coalesce(F.expr(p), F.lit(False)))
+    for t, p in _invalid().items():
+        one = log_row(read(spark, sf, t), f"VALID_{t.upper()}", t, "VALIDITY", F.coalesce(p, F.lit(False)))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_RULES = {"FREIGHT_EXCEEDS_PRICE": ("lineitem", "RANGE", "l_tax > l_discount"), "INSTALLMENTS_OUT_OF_RANGE": ("lineitem", "RANGE", "l_quantity NOT BETWEEN 1 AND 24"), "ZERO_PRICE_ITEMS": ("lineitem", "RANGE", "l_extendedprice = 0"), "DELIVERED_NULL_TIMESTAMP": ("orders", "NULL_CHECK", "o_orderstatus = 'F' AND o_orderdate IS NULL")}
+def _rules() -> dict:
+    """Rules by table: name, kind, and what breaks them."""
+    return {
+        "lineitem": [
+            ("FREIGHT_EXCEEDS_PRICE", "RANGE", C("l_tax") > C("l_discount")),
+            ("INSTALLMENTS_OUT_OF_RANGE", "RANGE", ~C("l_quantity").between(1, 24)),
+            ("ZERO_PRICE_ITEMS", "RANGE", C("l_extendedprice") == 0),
+        ],
+        "orders": [("DELIVERED_NULL_TIMESTAMP", "NULL_CHECK", (C("o_orderstatus") == "F") & C("o_orderdate").isNull())],
+    }
 
 
-@query(" UNION ALL ".join(log_sql(n, t, k, t, p) for n, (t, k, p) in _RULES.items()))
+@query(
+    " UNION ALL ".join(
+        (
+            log_sql("FREIGHT_EXCEEDS_PRICE", "lineitem", "RANGE", "lineitem", "l_tax > l_discount"),
+            log_sql("INSTALLMENTS_OUT_OF_RANGE", "lineitem", "RANGE", "lineitem", "l_quantity < 1 OR l_quantity > 24"),
+            log_sql("ZERO_PRICE_ITEMS", "lineitem", "RANGE", "lineitem", "l_extendedprice = 0"),
+            log_sql("DELIVERED_NULL_TIMESTAMP", "orders", "NULL_CHECK", "orders", "o_orderstatus = 'F' AND o_orderdate IS NULL"),
+        )
+    )
+)
 def range_log(spark, sf):
     out = None
-    for t in dict.fromkeys(t for t, _, _ in _RULES.values()):
-        one = log_rows(read(spark, sf, t), t, [(n, k, F.coalesce(F.expr(p), F.lit(False))) for n, (of, k, p) in _RULES.items() if of == t])
+    for t, checks in _rules().items():
+        one = log_rows(read(spark, sf, t), t, [(n, k, F.coalesce(p, F.lit(False))) for n, k, p in checks])
         out = one if out is None else out.unionByName(one)
     return out
 

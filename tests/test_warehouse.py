@@ -5,14 +5,15 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield import functions as fn
 from loomfield import schemas
 from loomfield.operators import marts, quality, staging
 from loomfield.operators import rows as R
-from loomfield.sources.files import list_files, load_audit, load_csv, stream_csv
-from loomfield.sources.store import Store
+from loomfield.sources.files import list_files, load_audit, load_csv, load_history, record_load, stream_csv
+from loomfield.sources.store import ConcurrentWrite, Store
 from loomfield.streaming import pipeline as P
 
 T0, T1 = datetime(2018, 1, 1), datetime(2018, 1, 2)
@@ -71,6 +72,21 @@ def test_csv_load_rejects_and_audit(spark, tmp_path):
     assert sorted(tuple(r._wrong) for r in got.rejects.collect()) == [("review_id",), ("review_score",)]
     assert [tuple(r)[2:] for r in load_audit(got, "order_reviews").collect()] == [(2, 2)]
     assert list_files(spark, str(tmp_path)).count() == 1
+    log = Store(spark, str(tmp_path / "log"))
+    record_load(log, got, "order_reviews")
+    assert [(r.loaded, r.rejected) for r in load_history(log).collect()] == [(2, 2)] and load_history(log, hours=-1).count() == 0
+    # A stream of the same files has the same rows and the same rejects.
+    stream = stream_csv(spark, str(tmp_path), "order_reviews")
+    rows, bad = [], []
+    P.follow(stream.rows, str(tmp_path / "cp1"), lambda df, n: rows.extend(df.collect()))
+    P.follow(stream.rejects, str(tmp_path / "cp2"), lambda df, n: bad.extend(df.collect()))
+    assert {r.review_id: r._row_hash for r in rows} == {k: r._row_hash for k, r in good.items()}
+    assert sorted(tuple(r._wrong) for r in bad) == [("review_id",), ("review_score",)]
+
+
+def test_row_hash_tells_cells_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "b"), ("a", "\\b"), (None, "x"), ("∅", "x")], "a string, b string")
+    assert df.select(fn.row_hash(F.col("a"), F.col("b")).alias("h")).distinct().count() == 6
 
 
 def test_store_versions(spark, tmp_path):
@@ -81,7 +97,26 @@ def test_store_versions(spark, tmp_path):
     s.append("t", spark.range(2))
     assert old.count() == 3 and s.read("t").count() == 5
     s.write("t", s.read("t").filter("id = 0"))
-    assert s.read("t").count() == 2 and len(s.versions("t")) == 2
+    s.write("t", s.read("t"))
+    assert old.count() == 3 and s.read("t").count() == 2 and len(s.versions("t")) == 4
+    s.vacuum("t", keep=2)
+    assert s.read("t").count() == 2 and len(s.versions("t")) == 2 and s.tables() == ["t"] and s.show().count() == 1
+    with pytest.raises(ConcurrentWrite):
+        s._commit("t", s.versions("t")[-1], [])
+    assert s.schema("marts").root.endswith("/marts") and not s.schema("marts").exists("t")
+
+
+def test_store_replaces_only_the_partitions_it_is_given(spark, tmp_path):
+    s, by = Store(spark, str(tmp_path)), F.col("m")
+    s.write("t", spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None)], "id int, m int"), by)
+    before = {x["partition"]: x["path"] for x in s._folders("t", 0)}
+    assert set(before) == {"1", "2", "none"} and {r.id for r in s.partitions("t", ["1", "9"]).collect()} == {1, 2} and s.partitions("t", ["9"]).count() == 0
+    s.replace("t", spark.createDataFrame([(1, 1), (9, 3)], "id int, m int"), by, ["1", "3"])
+    after = {x["partition"]: x["path"] for x in s._folders("t", 1)}
+    assert after["2"] == before["2"] and after["none"] == before["none"] and after["1"] != before["1"]
+    assert {r.id for r in s.read("t").collect()} == {1, 3, 4, 9} and s.read("t", 0).count() == 4
+    s.replace("t", s.read("t").limit(0), by, ["2"])
+    assert {r.id for r in s.read("t").collect()} == {1, 4, 9}
 
 
 def test_staging(spark, world):
@@ -130,6 +165,15 @@ def test_surrogate_keys_are_dense(spark):
     assert R.allocate_keys(df.limit(0), "sk", ["k"]).count() == 0
 
 
+def test_surrogate_keys_are_dense_beyond_the_sample_of_ranges(spark):
+    n = 500_000
+    rows = spark.range(n).select((F.xxhash64("id") % 1_000_000_007).alias("k"), "id").repartition(9)
+    keyed = R.allocate_keys(rows.union(rows.filter("id < 1000")), "sk", ["k", "id"], 5).persist()
+    assert tuple(keyed.agg(F.count("*"), F.countDistinct("sk"), F.min("sk"), F.max("sk")).first()) == (n + 1000, n + 1000, 6, n + 1005)
+    w = Window.partitionBy(F.floor(F.col("sk") / 1000)).orderBy("sk")
+    assert keyed.withColumn("before", F.lag("k").over(w)).filter("before > k").count() == 0
+
+
 def test_upsert_branches_and_rerun(spark):
     kind = "k int, price int, note string, sk int"
     target = spark.createDataFrame([(1, 10, "a", 7), (2, 20, "b", 8), (3, None, "c", 9)], kind)
@@ -209,6 +253,15 @@ def test_pipeline_run_to_run(spark, world, tmp_path):
     graph.run_once({"batch": batch, "stg": now})
     assert sorted(map(tuple, store.read("fact_items").collect())) == before and store.read("dim_customers").count() == len(dim)
     assert store.read("aud_pipeline_runs").count() == 9 and P.monthly_revenue_by_state(spark, store).count() == 2
+    # The audit looks at its window alone, and every run of a task is on record.
+    assert P.audit_run(store, -60.0) == "SUCCESS | loaded=0" and P.run_history(store).filter("duration_secs >= 0").count() == 12
+    store.append("fact_reviews", store.read("fact_reviews").limit(1).withColumn("review_score", F.lit(9)).withColumn("_loaded_at", F.current_timestamp()))
+    assert P.audit_run(store, 6).startswith("PARTIAL") and "BAD_REVIEW_SCORE=1" in P.run_history(store).filter("status = 'PARTIAL'").first().notes
+    assert P.task_history(store).filter("state = 'SUCCEEDED' AND task = 'audit'").count() == 3
+    # Months that a run does not touch keep their folders.
+    folders = lambda n: {x["partition"]: x["path"] for x in store._folders("fact_items", n)}
+    first, last = folders(0), folders(store.versions("fact_items")[-1])
+    assert set(first) == {"201801", "201802"} and last["201801"] == first["201801"] and last["201802"] != first["201802"] and "201806" in last
     late = marts.merge_fact(store.read("fact_items"), marts.fact_items(now, {n: store.read(f"dim_{n}") for n in ("customers", "products", "sellers", "geography")}, late=True), "items")
     assert late.filter("_is_late_arriving").count() == 0
 
@@ -222,6 +275,11 @@ def test_graph_guards():
     assert g.run_once(state) == {"a": "FAILED", "c": "SUCCEEDED", "b": "BLOCKED"} and state["errors"] == {"a": "no"}
     g.suspend()
     assert g.run_once({}) == {} and len(g.history) == 3
+    g.resume()
+    g.suspend("a")
+    assert g.run_once({}) == {"a": "SUSPENDED", "c": "SUCCEEDED", "b": "SUCCEEDED"} and [x["active"] for x in g.show()] == [False, True, True]
+    made = []
+    assert g.schedule(0.05, lambda: made.append(1) or {}, runs=3) == 3 and len(made) == 3
     with pytest.raises(ValueError):
         P.Graph([P.Task("a", broken, ("b",)), P.Task("b", broken, ("a",))]).order()
 
@@ -238,8 +296,52 @@ def test_stream_of_files_equals_batch(spark, tmp_path):
 
     for k, body in enumerate(("s1,1,a,sp\ns2,2,b,sp\n", "s1,9,z,rj\ns3,3,c,sp\n")):
         (src / f"{k}.csv").write_text(head + body)
-        P.follow(stream_csv(spark, str(src), "sellers"), str(tmp_path / "cp"), handle)
+        P.follow(stream_csv(spark, str(src), "sellers").rows, str(tmp_path / "cp"), handle)
     assert {r.seller_id: r.city for r in out.read("sellers").collect()} == {"s1": "Z", "s2": "B", "s3": "C"}
+    assert P.committed_at(spark, str(tmp_path / "cp")) is not None and P.committed_at(spark, str(tmp_path / "no")) is None
+
+
+def test_stream_joins_static_tables_and_starts_again_where_it_failed(spark, world, tmp_path):
+    src, stg = tmp_path / "in", staging.stage(world)
+    src.mkdir()
+    dims = {n: d.cache() for n, d in marts.build_dims(stg, F.lit("2018-01-01").cast("date")).items()}
+    head = "order_id,order_item_id,product_id,seller_id,shipping_limit,price,freight\n"
+    lines = stream_csv(spark, str(src), "order_items").rows
+    total = F.col("price_amt") + F.col("freight_amt")
+    facts = marts.fact_items(stg | {"order_items": lines.withColumn("total_item_amt", total.cast("decimal(12,2)"))}, dims)
+    got, broken = [], [True]
+
+    def handle(batch, number):
+        if broken and broken.pop():
+            raise RuntimeError("the first try fails")
+        got.extend((number, r.order_id, r.order_item_id, r.customer_key is not None) for r in batch.collect())
+
+    (src / "1.csv").write_text(head + "o1,7,p1,s1,,10.00,1.00\no9,1,p1,s1,,10.00,1.00\n")
+    with pytest.raises(Exception, match="first try"):
+        P.follow(facts, str(tmp_path / "cp"), handle)
+    assert not got
+    P.follow(facts, str(tmp_path / "cp"), handle)
+    (src / "2.csv").write_text(head + "o2,8,p1,s1,,5.00,1.00\n")
+    P.follow(facts, str(tmp_path / "cp"), handle)
+    assert got == [(0, "o1", 7, True), (1, "o2", 8, True)]
+
+
+def test_staged_tables_are_refreshed_when_raw_tables_change(spark, world, tmp_path):
+    raw_store, store = Store(spark, str(tmp_path / "raw")), Store(spark, str(tmp_path / "stg"))
+    for name, rows in world.items():
+        raw_store.write(name, rows)
+    staged = P.StagedTables(store, raw_store, lag=60)
+    assert staged.refresh(now=1000) and not staged.refresh(now=2000)
+    raw_store.append("sellers", raw(spark, "sellers", ("s7", "1", "x", "y")))
+    assert not staged.refresh(now=1030) and staged.refresh(now=1061)
+    assert {r.seller_id for r in store.read("sellers").collect()} == {"s1", "s7"}
+
+
+def test_declared_marts_take_no_null_keys(spark):
+    good = spark.createDataFrame([(1, "s1", None, None, None)], "seller_key bigint, seller_id string, zip_code_prefix string, city string, state string")
+    assert schemas.declared(good, "dim_sellers").count() == 1
+    with pytest.raises(Exception, match="dim_sellers.seller_id is null"):
+        schemas.declared(good.withColumn("seller_id", F.lit(None).cast("string")), "dim_sellers").collect()
 
 
 def test_event_windows_stream(spark, sf, tmp_path):
