@@ -279,7 +279,7 @@ class StagedTables:
             return False
         for name, rows in stage({t: self.raw.read(t, n) for t, n in seen.items()}).items():
             self.store.write(name, rows)
-        self.store.append("refreshes", self.store.spark.createDataFrame([(now, json.dumps(seen))], "at double, versions string"))
+        self.store.append("refreshes", self.store.spark.createDataFrame([(float(now), json.dumps(seen))], "at double, versions string"))
         return True
 
 

@@ -304,7 +304,8 @@ def test_stream_of_files_equals_batch(spark, tmp_path):
 def test_stream_joins_static_tables_and_starts_again_where_it_failed(spark, world, tmp_path):
     src, stg = tmp_path / "in", staging.stage(world)
     src.mkdir()
-    dims = {n: d.cache() for n, d in marts.build_dims(stg, F.lit("2018-01-01").cast("date")).items()}
+    store = Store(spark, str(tmp_path / "store"))
+    dims = {n: store.write(n, d) for n, d in marts.build_dims(stg, F.lit("2018-01-01").cast("date")).items()}
     head = "order_id,order_item_id,product_id,seller_id,shipping_limit,price,freight\n"
     lines = stream_csv(spark, str(src), "order_items").rows
     total = F.col("price_amt") + F.col("freight_amt")
