@@ -45,6 +45,8 @@ PATTERNS = (
 )
 WINDOW = 40  # of the SQL alone
 SUPPORT = 3
+#: Spans that are broadcast; more are joined.
+FEW = 100_000
 GENERALISE = 0.8
 REMOVE = 0.95
 TERM = r"\p{L}[\p{L}\p{M}]*+"
@@ -134,15 +136,15 @@ def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, support:
     return at.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", F.col("term").alias("t")))).cast(f"array<{SPAN}>").alias("more"))
 
 
-def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(rows with a struct ``row`` of all columns, text, key and base ``spans``; key with spans of revealing terms).
+def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with a struct ``row`` of the columns ``carry``, or all, and text; key with base spans and those of revealing terms).
 
     The spans of texts that have any are written once in the shared folder, since four steps read them.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "pii")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), body.alias("text"))
     found_in = rows.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
     # Equal texts share a key; a task adds up its own copies.
     base = scratch.write(found_in.select(F.sha2("text", 256).alias("key"), "text", "spans").groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies")), "base")
@@ -150,11 +152,15 @@ def detected(docs: DataFrame, text: str = "text", scratch: Scratch | None = None
     return rows, base.select("key", F.col("spans").alias("base")).join(more, "key", "left")
 
 
-def with_spans(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT) -> DataFrame:
-    """Rows (struct ``row``, ``text``) with all ``spans``."""
-    rows, spans = detected(docs, text, scratch, support)
+def with_spans(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, support: int = SUPPORT, carry: list[str] | None = None) -> DataFrame:
+    """Rows (struct ``row`` of the columns ``carry``, or all, ``text``) with the spans ``base`` and ``more``.
+
+    Where all spans are few they go to the texts; else rows meet them by the text's key.
+    """
+    rows, spans = detected(docs, text, scratch, support, carry)
     none = F.array().cast(f"array<{SPAN}>")
-    hit = rows.withColumn("key", F.sha2("text", 256)).join(spans, "key", "left")
+    size = spans.agg(F.sum(1 + F.size("base") + F.size(F.coalesce("more", none)))).first()[0] or 0
+    hit = rows.withColumn("key", F.sha2("text", 256)).join(F.broadcast(spans) if size <= FEW else spans, "key", "left")
     return hit.select("row", "text", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
 
 
@@ -185,7 +191,7 @@ def sanitised(docs: DataFrame, text: str = "text", scratch: Scratch | None = Non
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document and the terms that reveal it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_spans(docs)
+    rows = with_spans(docs, carry=["doc_id"])
     return rows.select(
         "row.doc_id",
         *[count(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(BASE)],

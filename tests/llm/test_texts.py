@@ -265,6 +265,13 @@ def test_revealing_terms_are_removed_wherever_they_stand_beside_their_entity(spa
     assert {r.doc_id: r.text for r in pii.sanitised(docs, support=1).collect()}[46] == f" {far}[EMAIL]"
 
 
+def test_spans_too_many_to_broadcast_are_joined(spark, monkeypatch):
+    docs = frame(spark, [*PERSONAL, *PERSONAL[2:]])
+    few = sorted(map(str, pii.sanitised(docs).collect()))
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert sorted(map(str, pii.sanitised(docs).collect())) == few
+
+
 def test_words_that_touch_an_entity_are_judged(spark):
     clean = [f"ordinary words number{k} and nothing else here" for k in range(40)]
     told = [f"see 田中kay@x.org mail {k}" for k in range(3)]
