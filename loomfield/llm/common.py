@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a Python worker gets at once, whatever the length of the texts; a longer text comes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Tasks that write an intermediate table, for each core of the session.
 TASKS = 4
 
@@ -53,7 +53,8 @@ class Scratch:
         Small shuffle partitions are taken together to ``TASKS`` for each core: a file costs far more than its rows.
         """
         tasks = TASKS * self.spark.sparkContext.defaultParallelism
-        df.coalesce(tasks).write.mode("overwrite").parquet(self.path(name))
+        # Snappy's codec keeps direct buffers for each column of each file until a full collection; this one keeps none.
+        df.coalesce(tasks).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
