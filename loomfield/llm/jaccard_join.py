@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -43,8 +43,8 @@ LEVELS = 2
 SKETCH = 20  # log2 of the counters
 BLOCK = 16
 FEW = 1_000_000
-WORDS_KEPT = 200_000
-PAIRS_AT_ONCE = 2_000_000
+WORDS_KEPT = 50_000
+PAIRS_AT_ONCE = 200_000
 REGION_ROWS = 4096
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -203,12 +203,17 @@ def regions(of_class: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = rows.repartition("s").sortWithinPartitions("s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches):
-            at = _starts(g["s"])
-            size = np.diff(np.r_[at, len(g["s"])])
-            keep = np.repeat(size > 1, size)
-            if keep.any():
-                yield pa.RecordBatch.from_pydict({n: c[keep] for n, c in g.items()})
+        held, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = b.column(0).to_numpy()
+            same = s[1:] == s[:-1]
+            keep = np.r_[last is not None and bool(s[0] == last), same] | np.r_[same, False]
+            if held is not None and keep[0] and s[0] == last:
+                yield held
+            held, last = None if keep[-1] else b.slice(len(s) - 1, 1), s[-1]
+            yield b.filter(pa.array(keep))
 
     return scratch.write(dealt.mapInArrow(run, "s long, k long, n long, pos long"), "regions")
 
@@ -231,7 +236,8 @@ def can(n: str, m: str, a: str, b: str, num: int, den: int):
 def residual_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of a region that are in different components and that sizes, places and distances leave.
 
-    ``rows``: s, k, n, pos, label and d, the distance to the region's first pivot or NaN.
+    ``rows``: s, k, n, pos, label and d, the distance to the pivot of the region's last round or NaN; regions of many
+    classes are compared in blocks.
     """
     e = 1 - num / den
 
@@ -244,7 +250,7 @@ def residual_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 order = np.argsort(g["n"][lo:hi], kind="stable")
                 n, left, k = (x[lo:hi][order] for x in (g["n"], g["n"] - g["pos"], g["k"]))
-                d, label = g["d"][lo:hi][order], label[order]
+                d, label, block = g["d"][lo:hi][order], label[order], g["block"][lo:hi][order]
                 # Of a pair the first has the smaller set: n_first from num / den of n up to what the places leave.
                 lowest = np.searchsorted(n, -(-num * n // den), "left")
                 highest = np.minimum(np.arange(len(n)), np.searchsorted(n, left * (num + den) // num - n, "right"))
@@ -254,13 +260,14 @@ def residual_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                     j = i + max(1, int(np.searchsorted(np.cumsum(many[i:]), PAIRS_AT_ONCE, "right")))
                     y = np.repeat(np.arange(i, min(j, len(n))), many[i:j])
                     x = np.arange(len(y)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j]) + np.repeat(lowest[i:j], many[i:j])
-                    ok = (label[x] != label[y]) & (left[x] >= need(n[x], n[y], num, den)) & ~(np.abs(d[x] - d[y]) > e + 1e-9)
+                    ok = (label[x] != label[y]) & ((block[x] != block[y]) | (block[x] < 0)) & (left[x] >= need(n[x], n[y], num, den)) & ~(np.abs(d[x] - d[y]) > e + 1e-9)
                     if ok.any():
                         a, b = k[x[ok]], k[y[ok]]
                         yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
                     i = j
 
-    return rows.repartition("s").sortWithinPartitions("s").select("s", "k", "n", "pos", "label", "d").mapInArrow(run, "a long, b long").distinct()
+    dealt = blocks(rows).repartition("s").sortWithinPartitions("s").select("s", "k", "n", "pos", "label", "d", "block")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -303,15 +310,17 @@ def verified(pairs: DataFrame, of_class: DataFrame, docs: DataFrame, words: int,
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Regions as pairs of blocks of ``REGION_ROWS`` classes, each with a name ``s`` of its own: every pair meets in one.
+    """Regions of more than ``REGION_ROWS`` classes as pairs of blocks of about so many, each with a name ``s`` of its own.
 
-    Names that collide only add candidates.
+    Every pair meets in one: those of a block where it stands alone (``block`` -1), others where the two blocks stand
+    together. Names that collide only add candidates.
     """
-    block = F.floor((F.row_number().over(Window.partitionBy("s").orderBy("k")) - 1) / F.lit(REGION_ROWS)).cast("long")
-    numbered = rows.withColumn("i", block)
-    last = rows.groupBy("s").agg(F.floor((F.count("*") - 1) / F.lit(REGION_ROWS)).cast("long").alias("last"))
-    dealt = numbered.join(last, "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    return dealt.select(F.xxhash64("s", F.least("i", "j"), F.greatest("i", "j")).alias("s"), "k", "n", "pos").distinct()
+    hot = rows.groupBy("s").agg(F.ceil(F.count("*") / F.lit(REGION_ROWS)).cast("int").alias("m")).filter("m > 1")
+    i = F.pmod(F.xxhash64("k"), F.col("m")).cast("int")
+    place = lambda j: F.struct(F.xxhash64("s", F.least(i, j), F.greatest(i, j)).alias("s"), F.when(i == j, -1).otherwise(i).alias("block"))
+    where = F.when(F.col("m").isNull(), F.array(F.struct("s", F.lit(-1).alias("block")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), place))
+    dealt = rows.join(hot, "s", "left").withColumn("x", F.explode(where))
+    return dealt.select("x.s", "x.block", *[c for c in rows.columns if c != "s"])
 
 
 def exact_links(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -323,7 +332,7 @@ def exact_links(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "
     scratch = Scratch(docs.sparkSession, "links")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members, of_class = classes(docs, words, num, den, sketch(docs, words), scratch)
-    rows = blocks(regions(of_class, scratch)).withColumn("label", F.col("k")).withColumn("d", F.lit(float("nan")))
+    rows = regions(of_class, scratch).withColumn("label", F.col("k")).withColumn("d", F.lit(float("nan")))
     pairs = verified(residual_pairs(rows, num, den), of_class, docs, words, num, den, scratch, "links").filter("linked").select("a", "b", "d")
     return members.join(of_class.select("cls", "k"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "k"), pairs
 
