@@ -1,25 +1,26 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The vectors are cut into ``PARTS`` column parts. A node holds one part of one block of vectors and
-can only score that part; a candidate's score is the sum of its parts' scores.
+The vectors are cut into ``PARTS`` column parts; a candidate's score is the sum of its parts' scores.
+A cell is a block of queries and a block of candidates; it lists and cuts by the scores of single parts.
 
-1. Every node sends, for each query, its local list of the k best partial scores. Those candidates
-   are scored in full; the k-th best of a query is a safe cutoff of its true k best.
+1. Every cell lists, for each query, the k best candidates of each part. Those are scored in full, and
+   the k-th best of a query is a safe cutoff of its true k best.
 2. The cutoff divided by the number of parts is the uniform threshold: a candidate that reaches the
-   cutoff reaches the threshold in some part, whatever the signs. It is sent to the nodes with the
-   queries, and every node sends all entries that reach it.
-3. What was sent is scored exactly from whole vectors and ranked.
+   cutoff reaches the threshold in some part, whatever the signs. Thresholds are sent to the cells
+   with the queries, and every cell collects the entries that reach them.
+3. What is collected is scored exactly where it stands, and no more than k of a query leave a cell.
 
 Scale: queries come in blocks of ``QUERY_BLOCK`` and candidates in blocks of ``ROW_BLOCK``, both
-packed as matrices; a pair of blocks meets once in each phase, by an equi-join on the block's
-number, and never a pair of rows. A task holds one pair of blocks. Thresholds travel with the query
-blocks and are joined by block number, so nothing that grows with the input is broadcast.
+packed as matrices; a pair of blocks is a key of its own, so that no task gets more than one at a
+time and no key is hot. A cell sends ``k`` rows a query and part at most, whatever the scores.
+Thresholds are joined by block number, so nothing that grows with the input is broadcast.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part,
 neither as query nor as candidate. Vectors of another length than a query's are not its
 candidates. Repeated vectors tie and the smaller id comes first; a null id takes no part. A query
 with fewer than k candidates gets all of them. Query rows repeated in full are one query; under an
 id with several vectors the best of all of these stand. Other columns are ignored; an empty table gives none.
+Scores are sums of integers in 64-bit floats, exact below 2^53.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import Scratch, table
+from loomfield.llm.common import Scratch, sliced, table
 
 K = 10
 PARTS = 2
 QUERY_BLOCK = 1024
 ROW_BLOCK = 4096
+QUERIES_AT_ONCE = 256
 UNIT = 1024.0
 
 
@@ -63,84 +65,98 @@ def blocks(rows: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame
     return scratch.write(dealt.groupBy("b", "width").applyInArrow(run, "block int, width int, ids array<long>, m binary"), name)
 
 
-def cells(queries: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
-    """A row for every pair of a query block and a candidate block of one width, and every part."""
-    n = (queries.agg(F.max("block")).first()[0] or 0) + 1
-    q = queries.select("width", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), *[c for c in queries.columns if c not in ("block", "width", "ids", "m")])
-    c = candidates.select("width", "ids", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"), F.col("block").alias("c")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return c.join(q, ["q", "width"])
+def cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A row for every pair of a query block and a candidate block of one width, each with a key (q, c) of its own."""
+    last = lambda df: (df.agg(F.max("block")).first()[0] or 0)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    more = [x for x in queries.columns if x not in ("block", "width", "ids", "m")]
+    q = queries.select("width", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), *more, every(last(candidates)).alias("c"))
+    c = candidates.select("width", "ids", "m", F.col("block").alias("c"), every(last(queries)).alias("q"))
+    return c.join(q, ["q", "c", "width"])
 
 
-def _matrix(raw: bytes, width: int, part: int, parts: int) -> np.ndarray:
-    m = np.frombuffer(raw, "<f8").reshape(-1, width)
-    cut = np.linspace(0, width, parts + 1).astype(int)
-    return m[:, cut[part] : cut[part + 1]]
+FOUND = "query_id long, vec_id long, score long"
 
 
-PAIRS = "query_id long, vec_id long"
+def part_scores(r: dict, parts: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(first query, ids of candidates, scores by part, what is no candidate) of a cell, some queries at a time."""
+    w, ids = r["width"], np.array(r["ids"], np.int64)
+    q, m = (np.frombuffer(r[k], "<f8").reshape(-1, w) for k in ("q_m", "m"))
+    q_ids = np.array(r["q_ids"], np.int64)
+    cut = np.linspace(0, w, parts + 1).astype(int)
+    for lo in range(0, len(q), QUERIES_AT_ONCE):
+        some = q[lo : lo + QUERIES_AT_ONCE]
+        each = [some[:, a:b] @ m[:, a:b].T for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield lo, ids, each, q_ids[lo : lo + QUERIES_AT_ONCE, None] == ids[None, :]
+
+
+def best(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each row of scores, by score and then by id; -inf is none."""
+    if score.shape[1] > k:
+        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        at_q, at_c = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+    else:
+        at_q, at_c = np.nonzero(np.isfinite(score))
+    order = np.lexsort((ids[at_c], -score[at_q, at_c], at_q))
+    at_q, at_c = at_q[order], at_c[order]
+    rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
+    at_q, at_c = at_q[rank < k], at_c[rank < k]
+    return pa.RecordBatch.from_pydict({"query_id": q_ids[at_q], "vec_id": ids[at_c], "score": score[at_q, at_c].astype(np.int64)})
 
 
 def local_lists(grid: DataFrame, k: int, parts: int) -> DataFrame:
-    """Phase 1: the k best partial scores of each node for each query."""
+    """Phase 1: the k best of each cell by each part's scores, with their full scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                w, p = r["width"], r["part"]
-                q_ids, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
-                s = _matrix(r["q_m"], w, p, parts) @ _matrix(r["m"], w, p, parts).T
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n].ravel()
-                rows = np.repeat(np.arange(len(q_ids)), n)
-                ok = np.isfinite(s[rows, top])
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[rows[ok]], "vec_id": ids[top[ok]]})
+        for b in sliced(batches, 1):
+            r = b.to_pylist()[0]
+            q_ids = np.array(r["q_ids"], np.int64)
+            for lo, ids, each, own in part_scores(r, parts):
+                listed = np.zeros(own.shape, bool)
+                n = min(k, len(ids))
+                for s in each:
+                    np.put_along_axis(listed, np.argpartition(np.where(own, np.inf, -s), n - 1, axis=1)[:, :n], True, axis=1)
+                yield best(q_ids[lo : lo + len(own)], ids, np.where(listed & ~own, sum(each), -np.inf), k * parts)
 
-    return grid.select("width", "part", "q_ids", "q_m", "ids", "m").mapInArrow(run, PAIRS)
+    return grid.select("width", "q_ids", "q_m", "ids", "m").mapInArrow(run, FOUND)
 
 
-def reaching(grid: DataFrame, parts: int) -> DataFrame:
-    """Phase 2: pairs whose score of the node's part reaches the query's threshold; all pairs of a query without one."""
+def reaching(grid: DataFrame, k: int, parts: int) -> DataFrame:
+    """Phases 2 and 3: entries whose score of some part reaches the query's threshold, scored in full; the k best of a cell leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                w, p = r["width"], r["part"]
-                q_ids, ids = np.array(r["q_ids"], np.int64), np.array(r["ids"], np.int64)
-                cut = {x["query_id"]: x["cut"] for x in r["cuts"]}
-                s = _matrix(r["q_m"], w, p, parts) @ _matrix(r["m"], w, p, parts).T
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-                at_q, at_c = np.nonzero(s >= np.array([cut.get(int(x), np.finfo(float).min) for x in q_ids])[:, None])
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at_q], "vec_id": ids[at_c]})
-
-    return grid.select("width", "part", "q_ids", "q_m", "ids", "m", "cuts").mapInArrow(run, PAIRS)
-
+        for b in sliced(batches, 1):
+            r = b.to_pylist()[0]
+            q_ids = np.array(r["q_ids"], np.int64)
+            cut = {x["query_id"]: x["cut"] for x in r["cuts"]}
+            least = np.array([cut.get(int(x), -np.inf) for x in q_ids])
+            for lo, ids, each, own in part_scores(r, parts):
+                some = least[lo : lo + len(own), None]
+                open_ = np.zeros(own.shape, bool)
+                for s in each:
+                    open_ |= s >= some
+                yield best(q_ids[lo : lo + len(own)], ids, np.where(open_ & ~own, sum(each), -np.inf), k)
 
-def exact(pairs: DataFrame, queries: DataFrame, every: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of distinct pairs, from whole vectors."""
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    both = pairs.distinct().join(every.select(F.col("id").alias("vec_id"), F.col("v").alias("b")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
-    return both.filter(F.size("a") == F.size("b")).select("query_id", "vec_id", dot.alias("score"))
+    return grid.select("width", "q_ids", "q_m", "ids", "m", "cuts").mapInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, parts: int = PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of every query among all other rows."""
     scratch = Scratch(vectors.sparkSession, "topk")
     every = vectors.select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("is_query")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    q_rows = every.filter("is_query").select("id", "v").distinct()
-    queries = blocks(q_rows, QUERY_BLOCK, scratch, "queries")
+    queries = blocks(every.filter("is_query").select("id", "v").distinct(), QUERY_BLOCK, scratch, "queries")
     candidates = blocks(every.select("id", "v"), ROW_BLOCK, scratch, "candidates")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    listed = exact(local_lists(cells(queries, candidates, parts), k, parts), q_rows, every)
+    # A pair of rows is in one cell, so that what is listed twice stands in two rows of the same id.
+    listed = local_lists(cells(queries, candidates), k, parts)
     kth = listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("cutoff"))
-    # Fewer than k: no threshold, all is sent.
+    # Fewer than k: no threshold, all is collected. Under an id with several vectors the cutoff is of all of these together.
     cut = kth.filter(F.col("n") == k).select("query_id", (F.col("cutoff") / F.lit(float(parts))).alias("cut"))
     of_block = queries.select("block", "width", F.explode(F.array_distinct("ids")).alias("query_id"))
     cuts = of_block.join(cut, "query_id", "left").groupBy("block", "width").agg(F.collect_list(F.struct("query_id", F.coalesce("cut", F.lit(-1e300)).alias("cut"))).alias("cuts"))
 
-    sent = reaching(cells(queries.join(cuts, ["block", "width"]), candidates, parts), parts)
-    ranked = exact(sent, q_rows, every).withColumn("rank", F.row_number().over(order))
+    ranked = reaching(cells(queries.join(cuts, ["block", "width"]), candidates), k, parts).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
