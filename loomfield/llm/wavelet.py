@@ -53,7 +53,9 @@ def _raw(block: bytes) -> bytes:
 
 def built(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int], part: int = 0, number: int = 0) -> bytes:
     """The file of a shard; ``ids`` of its documents in a row, ``sizes`` how many each has."""
-    symbols, ranks = np.unique(ids, return_inverse=True)
+    symbols = np.flatnonzero(np.bincount(ids, minlength=1))
+    rank = np.zeros(1 << 16, np.uint16)
+    rank[symbols] = np.arange(len(symbols))
     depth = max(0, int(len(symbols) - 1).bit_length())
     header = {"part": part, "number": number, "tokens": len(ids), "documents": len(doc_ids), "planes": []}
     sections, at = [], 0
@@ -68,7 +70,7 @@ def built(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int], part: in
     header["doc_ids"] = add(_packed(known.tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes()))
     header["sizes"] = add(_packed(np.array(sizes, "<u4").tobytes()))
     header["symbols"] = add(_packed(symbols.astype("<u2").tobytes()))
-    row = ranks.astype(np.uint16).reshape(-1)
+    row = rank[ids]
     for level in reversed(range(depth)):
         bits = (row >> level & 1).astype(bool)
         blocks = [bits[lo : lo + BITS] for lo in range(0, len(bits), BITS)]
