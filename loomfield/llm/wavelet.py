@@ -281,7 +281,7 @@ def occurrences(spark: SparkSession, folder: str, tokens: list[int]) -> DataFram
                 at = shard.places(t)
                 doc = np.searchsorted(ends, at, side="right")
                 first = np.concatenate([[0], ends])[doc]
-                yield pa.RecordBatch.from_pydict({"token": [t] * len(at), "doc_id": doc_ids.take(pa.array(doc)), "place": at - first})
+                yield pa.RecordBatch.from_pydict({"token": pa.array([t] * len(at), pa.int64()), "doc_id": doc_ids.take(pa.array(doc)), "place": at - first})
 
     return files(spark, folder).mapInArrow(run, "token long, doc_id long, place long")
 
@@ -292,7 +292,7 @@ def counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 1):
             shard = Shard(b.column(0)[0].as_py())
-            yield pa.RecordBatch.from_pydict({"token": tokens, "n": [shard.count(t) for t in tokens]})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.int64()), "n": pa.array([shard.count(t) for t in tokens], pa.int64())})
 
     each = files(spark, folder).mapInArrow(run, "token long, n long")
     return each.groupBy("token").agg(F.sum("n").alias("n"))
