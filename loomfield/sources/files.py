@@ -66,7 +66,7 @@ def _text_schema(table: str) -> str:
     return ", ".join(f"`{f.name}` string" for f in schemas.struct(schemas.RAW[table]).fields)
 
 
-def load_csv(spark: SparkSession, path: str, table: str, loaded_at: Column | None = None) -> Loaded:
+def load_csv(spark: SparkSession, path: str | list[str], table: str, loaded_at: Column | None = None) -> Loaded:
     """A raw table from CSV (plain or gzip): columns by position; rows that a type or a length refuses go to ``rejects``.
 
     A reject keeps the cells as text and names the columns at fault.

@@ -255,7 +255,7 @@ def test_pipeline_run_to_run(spark, world, tmp_path):
     assert store.read("aud_pipeline_runs").count() == 9 and P.monthly_revenue_by_state(spark, store).count() == 2
     # The audit looks at its window alone, and every run of a task is on record.
     assert P.audit_run(store, -60.0) == "SUCCESS | loaded=0" and P.run_history(store).filter("duration_secs >= 0").count() == 12
-    store.append("fact_reviews", store.read("fact_reviews").limit(1).withColumn("review_score", F.lit(9)).withColumn("_loaded_at", F.current_timestamp()))
+    store.append("fact_reviews", store.read("fact_reviews").limit(1).withColumn("review_score", F.lit(9)).withColumn("_loaded_at", F.current_timestamp()), marts.month_of("reviews"))
     assert P.audit_run(store, 6).startswith("PARTIAL") and "BAD_REVIEW_SCORE=1" in P.run_history(store).filter("status = 'PARTIAL'").first().notes
     assert P.task_history(store).filter("state = 'SUCCEEDED' AND task = 'audit'").count() == 3
     # Months that a run does not touch keep their folders.
