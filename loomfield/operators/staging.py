@@ -31,13 +31,28 @@ def clean_customers(raw: DataFrame, flagged: bool = False) -> DataFrame:
     return _one(df, ["customer_id"], flagged, C("customer_id").isNotNull() & C("customer_unique_id").isNotNull())
 
 
-def geo_centroid(raw: DataFrame) -> DataFrame:
-    """Mean place and most frequent city of each zip prefix; ties go to the city first in order. One pass over the samples."""
+def geo_parts(raw: DataFrame) -> DataFrame:
+    """Samples of each zip prefix and city, with the sums and counts of their places; parts of parts are added by ``geo_added``."""
     rows = raw.filter(C("zip_code_prefix").isNotNull()).select(F.trim("zip_code_prefix").alias("zip_code_prefix"), initcap_words(F.trim("city")).alias("city"), F.upper(F.trim("state")).alias("state"), "lat", "lng")
-    part = rows.groupBy("zip_code_prefix", "city", "state").agg(F.count("*").alias("n"), *[f(x).alias(f"{x}_{k}") for x in ("lat", "lng") for f, k in ((F.sum, "s"), (F.count, "k"))])
+    return rows.groupBy("zip_code_prefix", "city", "state").agg(F.count("*").alias("n"), *[f(x).alias(f"{x}_{k}") for x in ("lat", "lng") for f, k in ((F.sum, "s"), (F.count, "k"))])
+
+
+def geo_added(parts: DataFrame) -> DataFrame:
+    """Parts with one row for each zip prefix and city again."""
+    sums = [F.sum(c).alias(c) for c in parts.columns if c not in ("zip_code_prefix", "city", "state")]
+    return parts.groupBy("zip_code_prefix", "city", "state").agg(*sums)
+
+
+def geo_centers(parts: DataFrame) -> DataFrame:
+    """Mean place and most frequent city of each zip prefix; ties go to the city first in order."""
     best = F.min_by(F.struct("city", "state"), F.struct(-C("n"), C("city"), C("state")))
     mean = lambda x: F.try_divide(F.sum(f"{x}_s"), F.sum(f"{x}_k")).alias(x)
-    return part.groupBy("zip_code_prefix").agg(best.alias("b"), mean("lat"), mean("lng"), F.sum("n").alias("samples")).select("zip_code_prefix", "b.city", "b.state", "lat", "lng", "samples")
+    return parts.groupBy("zip_code_prefix").agg(best.alias("b"), mean("lat"), mean("lng"), F.sum("n").alias("samples")).select("zip_code_prefix", "b.city", "b.state", "lat", "lng", "samples")
+
+
+def geo_centroid(raw: DataFrame) -> DataFrame:
+    """The centers of all samples, in one pass over them."""
+    return geo_centers(geo_parts(raw))
 
 
 def clean_orders(raw: DataFrame, flagged: bool = False) -> DataFrame:
@@ -76,8 +91,15 @@ def clean_reviews(raw: DataFrame, flagged: bool = False) -> DataFrame:
     return _one(df, ["order_id"], flagged, C("order_id").isNotNull(), [C("review_answered_at").desc_nulls_last(), C("_loaded_at").desc_nulls_last()])
 
 
+def category_names(categories: DataFrame) -> DataFrame:
+    """One English name for each category ``_k``: of several the latest loaded, and of these the first in order."""
+    order = [C("_loaded_at").desc_nulls_last()] if "_loaded_at" in categories.columns else []
+    named = categories.select("*", _low("category_name_pt").alias("_k"), F.trim("category_name_en").alias("_name"))
+    return keep_latest(named, ["_k"], order, ["_name"]).select("_k", C("_name").alias("category_name_en"))
+
+
 def clean_products(raw: DataFrame, categories: DataFrame, flagged: bool = False) -> DataFrame:
-    names = categories.select(_low("category_name_pt").alias("_k"), F.trim("category_name_en").alias("category_name_en")).dropDuplicates(["_k"])
+    names = category_names(categories)
     df = raw.join(names, _low("category_name_pt") == C("_k"), "left").select(
         _low("product_id").alias("product_id"), _low("category_name_pt").alias("category_name_pt"), "category_name_en", "photo_cnt", *[money(C(c), 10).alias(c) for c in ("weight_g", "length_cm", "height_cm", "width_cm")], "_loaded_at", "_row_hash"
     )
@@ -95,3 +117,16 @@ def stage(raw: dict[str, DataFrame], flagged: bool = False) -> dict[str, DataFra
         "customers": clean_customers(raw["customers"], flagged), "geolocation": geo_centroid(raw["geolocation"]), "orders": clean_orders(raw["orders"], flagged), "order_items": clean_items(raw["order_items"], flagged),
         "order_payments": clean_payments(raw["order_payments"], flagged), "order_reviews": clean_reviews(raw["order_reviews"], flagged), "products": clean_products(raw["products"], raw["category_names"], flagged), "sellers": clean_sellers(raw["sellers"], flagged),
     }
+
+
+#: How the latest row of a key is found when staged rows meet new ones: keys and order, as in the functions above.
+LATEST = {
+    "customers": ["customer_id"], "orders": ["order_id"], "order_items": ["order_id", "order_item_id"], "order_payments": ["order_id", "payment_sequential"],
+    "order_reviews": ["order_id"], "products": ["product_id"], "sellers": ["seller_id"],
+}
+
+
+def latest(name: str, rows: DataFrame) -> DataFrame:
+    """Of staged rows of a table, old and new, those that stay: the latest of latest rows is the latest of all."""
+    answered = [C("review_answered_at").desc_nulls_last()] if name == "order_reviews" else []
+    return keep_latest(rows, LATEST[name], [*answered, C("_loaded_at").desc_nulls_last()], ["_row_hash"])
