@@ -158,9 +158,9 @@ def classes(docs: DataFrame, words: int, num: int, den: int, hot: np.ndarray, sc
     return full.select("doc_id", "n", "cls"), of_class
 
 
-def with_class(docs: DataFrame, words: int) -> DataFrame:
+def with_class(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the class ``cls`` of their text's set of shingles, null without words."""
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(words)

@@ -101,3 +101,26 @@ def test_near_copies_go_where_ids_are_null_or_shared(spark):
     order = lambda rows: sorted(rows, key=str)
     want = [(i, " ".join(t.split(" ")[:-1] + ["A"]) if i == 7 and t == last(d, "a") else t) for i, t in kept]
     assert order((x.doc_id, x.text) for x in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == order(want)
+
+
+def test_columns_of_any_name_pass_every_stage(spark):
+    """Columns that operators add under the same names, null and shared ids, and repeated rows."""
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice(("th", "er", "an", "ing", "on", "re")) for _ in range(r.randint(1, 4))) for _ in range(n))
+    names = ["score", "rejected", "cls", "root", "row", "key", "spans", "base", "more", "kept", "judged", "lang_pred", "n", "label", "k"]
+    texts = [prose(r.randint(20, 120)) for _ in range(25)]
+    rows = [(i if i < 20 else (3 if i < 23 else None), t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[24]), (50, None), (51, " ")]
+    kinds = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"{c} string" for c in names]])
+    docs = spark.createDataFrame([(i, t, "en", "a", None, *[f"{c} of {i}" for c in names]) for i, t in rows], kinds)
+    base = Scratch(spark, "t").root
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, base).write.parquet(f"{base}/{name}")
+        now = spark.read.parquet(f"{base}/{name}")
+        if name != "packing":
+            assert now.columns == docs.columns, name
+            for x in now.collect():
+                assert [x[c] for c in names] == [f"{c} of {x.doc_id}" for c in names], name
+    assert {x.doc_id for x in now.select("doc_id").distinct().collect()} == {*range(20), None}
+    left = spark.read.parquet(f"{base}/jaccard_join")
+    assert sorted(x.text for x in left.collect()) == sorted(texts)
