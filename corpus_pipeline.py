@@ -4,10 +4,12 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as P
 as the next stage's docs. Every stage works on all that its predecessor kept; all but the last keep
 the columns of documents.
 
-Defined results, beside those of the operators: documents with null ids, null texts or repeated rows
-pass through as rows of their own, except that of a group of near duplicates one row stays, that of
-the least id and then of the least text. A document whose text is wholly repeated stays with an
-empty text. An empty table gives an empty result.
+Defined results, beside those of the operators: a text that is null, empty or without a letter has no
+language and goes in the first stage; a later stage that is given such rows keeps them. Documents with
+null or shared ids and repeated rows pass through as rows of their own, except that of a group of near
+duplicates one row stays, that of the least id and then of the least text. A document whose text is
+wholly repeated stays with an empty text. Columns of any name are kept as they are. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,18 @@ WORDS, SIMILARITY = 5, (80, 100)
 PASSAGE = 200
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named by their place, so that none has a name that an operator adds; and the names they have now."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from a bounded sample of their labels."""
     model = language_id.fit(docs, key=F.col("doc_id"))
-    return language_id.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    rows, names = _numbered(docs)
+    kept = language_id.identify(rows, model, names["text"]).filter(~F.col("rejected"))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +56,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
         return rows
     # Where ids are shared or null the text tells: of a component the row with the least text stays.
     unsure = docs.filter(worded).join(shared, "doc_id", "left_semi").select(*docs.columns).union(docs.filter(worded & F.col("doc_id").isNull()))
-    named = jaccard_join.with_class(unsure, WORDS)
-    first = lambda row: F.min_by(row, F.col("text")).alias("row")
-    of_class = named.groupBy("doc_id", "cls").agg(first(F.struct(*docs.columns)), F.min("text").alias("text")).alias("c")
-    kept = of_class.join(least.alias("l"), F.col("c.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("c.cls") == F.col("l.cls"))).groupBy("root").agg(first(F.col("row")))
+    numbered, names = _numbered(unsure)
+    named = jaccard_join.with_class(numbered, WORDS, names["text"])
+    first = lambda row, by: F.min_by(row, by).alias("row")
+    of_class = named.groupBy(F.col(names["doc_id"]).alias("id"), "cls").agg(
+        first(F.struct(*[F.col(n).alias(c) for c, n in names.items()]), F.col(names["text"])), F.min(names["text"]).alias("least_text")
+    )
+    met = of_class.alias("c").join(least.alias("l"), F.col("c.id").eqNullSafe(F.col("l.doc_id")) & (F.col("c.cls") == F.col("l.cls")))
+    kept = met.groupBy("l.root").agg(first(F.col("c.row"), F.col("c.least_text")))
     return rows.union(kept.select("row.*"))
 
 
