@@ -6,6 +6,7 @@ Nothing here touches a machine-local folder on a cluster: intermediate tables go
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,8 +71,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released() -> None:
+    """Give freed memory of this worker back: it lives on after its task, beside the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that what a worker makes of one stays small."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
+    """The batches in slices of a few rows, so that what a worker makes of one stays small; at the end memory is given back."""
+    try:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield b.slice(lo, rows)
+    finally:
+        released()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomfield.llm.common import Scratch, sliced, table
+from loomfield.llm.common import Scratch, released, sliced, table
 from loomfield.llm.components import components
 
 LEVELS = 2
@@ -191,6 +191,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
             held.append(cols)
     if held:
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+    held.clear()
+    released()
 
 
 def _starts(s: np.ndarray) -> np.ndarray:
