@@ -347,12 +347,13 @@ def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return size.join(more, "k", "left").select("k", "n_copies", (F.col("n_copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, cls, root): linked are documents with J >= num / den; a row for every row.
 
     ``root`` names the component, also where ids are shared or null; it is null for texts without words.
+    A caller that gives a ``scratch`` can drop it once the result is written.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     members, of_class = classes(docs, words, num, den, sketch(docs, words), scratch)
     rows = regions(of_class, scratch)
