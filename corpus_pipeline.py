@@ -41,10 +41,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and every document that has none."""
-    scratch = Scratch(spark, "copies")
-    groups = jaccard_join.near_duplicates(docs, WORDS, *SIMILARITY)
+    scratch, work = Scratch(spark, "copies"), Scratch(spark, "jaccard")
+    groups = jaccard_join.near_duplicates(docs, WORDS, *SIMILARITY, scratch=work)
     # A row for each id, class and component; components can have the same least id, or none, so a root names them.
     of_id = scratch.write(groups.groupBy("doc_id", "cls", "component_id", "root").agg(F.count("*").alias("n")), "groups")
+    work.drop()
     shared = scratch.write(of_id.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "shared")
     least = of_id.filter("cls IS NOT NULL").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "cls", "root")
     ids = scratch.write(least.join(shared, "doc_id", "left_anti").filter("doc_id IS NOT NULL").select("doc_id"), "ids")
