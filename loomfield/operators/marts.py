@@ -6,11 +6,13 @@ intervals; a fact takes the version that holds on its day.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import date_key
-from loomfield.operators.rows import allocate_keys, as_of, keep_latest, scd2_apply, upsert
+from loomfield.operators.rows import allocate_keys, as_of_join, keep_latest, scd2_apply, upsert
 
 C = F.col
 CUSTOMER_TRACKED = ["zip_code_prefix", "city", "state"]
@@ -74,9 +76,9 @@ def _ordered(child: DataFrame, stg: dict[str, DataFrame]) -> DataFrame:
 
 
 def _person(rows: DataFrame, dims: dict[str, DataFrame], day: Column) -> DataFrame:
-    """The version of the person that holds on the day."""
+    """The version of the person that holds on the day. A person has few versions; the rows may be a stream."""
     d = dims["customers"].select("customer_key", C("customer_unique_id").alias("_nk"), C("start_date").alias("_from"), C("end_date").alias("_to"))
-    return as_of(rows, d, {"customer_unique_id": "_nk"}, day, start="_from", end="_to").drop("_nk", "_from", "_to")
+    return as_of_join(rows, d, {"customer_unique_id": "_nk"}, day, start="_from", end="_to").drop("_nk", "_from", "_to")
 
 
 def _loaded() -> Column:
@@ -153,14 +155,15 @@ def unresolved(stg: dict[str, DataFrame], facts: DataFrame) -> DataFrame:
     return stg["order_items"].join(facts, ["order_id", "order_item_id"], "left_anti")
 
 
-def build_dims(stg: dict[str, DataFrame], today: Column) -> dict[str, DataFrame]:
-    """The dimensions of an initial load."""
-    return {
-        "customers": dim_customers(stg["customers"], stg["orders"], today),
-        "products": dim_products(stg["products"], today),
-        "sellers": dim_sellers(stg["sellers"]),
-        "geography": dim_geography(stg["geolocation"]),
+def build_dims(stg: dict[str, DataFrame], today: Column, only: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """The dimensions of an initial load, or those named in ``only``: each writes its keys when it is built."""
+    makers = {
+        "customers": lambda: dim_customers(stg["customers"], stg["orders"], today),
+        "products": lambda: dim_products(stg["products"], today),
+        "sellers": lambda: dim_sellers(stg["sellers"]),
+        "geography": lambda: dim_geography(stg["geolocation"]),
     }
+    return {n: make() for n, make in makers.items() if only is None or n in only}
 
 
 def revenue_by_month_and_state(facts: DataFrame, dates: DataFrame, customers: DataFrame) -> DataFrame:

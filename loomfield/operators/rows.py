@@ -116,8 +116,75 @@ def scd2_apply(dim: DataFrame, batch: DataFrame, key: str, tracked: Sequence[str
     return kept.unionByName(fresh)
 
 
-def as_of(fact: DataFrame, dim: DataFrame, key: dict[str, str], day: Column, how: str = "inner", start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Each fact row with the version of its key that holds on ``day``: an equi-join whose interval test is part of the join."""
+def as_of_join(fact: DataFrame, dim: DataFrame, key: dict[str, str], day: Column, how: str = "inner", start: str = "start_date", end: str = "end_date") -> DataFrame:
+    """Each fact row with the version of its key that holds on ``day``: an equi-join whose interval test is part of the join.
+
+    For keys with few versions, and for facts that are a stream: each fact meets all versions of its key.
+    """
     cond = [F.col(a) == F.col(b) for a, b in key.items()]
     cond += [F.col(start) <= day, F.col(end).isNull() | (F.col(end) > day)]
     return fact.join(dim, cond, how)
+
+
+#: Facts of one key that one task may sort, and bytes of facts of which even all are a task's work.
+SLICE_ROWS, SLICE_BYTES = 1 << 20, 64 << 20
+#: Slices of a hot key, and the share of all facts (one in so many) beyond which a key is hot: so there are at most as many hot keys.
+SLICES = 256
+
+
+def _all_known(names: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).isNotNull()
+    return out
+
+
+def _cuts(facts: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Points of time that cut the facts of each hot key into slices of about equal size; at most SLICES keys with SLICES - 1 points."""
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    hot = counts.join(F.broadcast(total), F.col("_n") > F.greatest(F.lit(most), F.col("_all") / SLICES)).select(*keys)
+    points = F.percentile_approx("_t", [k / SLICES for k in range(1, SLICES)], 10 * SLICES)
+    return facts.join(F.broadcast(hot), list(keys), "left_semi").groupBy(*keys).agg(points.alias("_cuts"))
+
+
+def as_of(
+    fact: DataFrame, dim: DataFrame, key: dict[str, str], day: Column, how: str = "inner", start: str = "start_date", end: str = "end_date",
+    slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
+    """Each fact row with the version of its key that holds on ``day``, by a sweep: one sort of facts and versions, no pairs.
+
+    Facts and versions stand in one order of key and time, and a fact takes the last version before it. The
+    versions of a key don't overlap; empty ones hold on no day. ``how`` is inner or left; facts with a null
+    key or day have no version. The columns are those of a join.
+
+    A key with more facts than ``slice_rows`` and than one in SLICES of all is cut by quantiles of its facts'
+    time, each slice a group of its own; a version stands in every slice that it reaches into, which adds at
+    most a row a slice, since versions don't overlap. Facts of one key and one instant stay together. Facts of
+    less than ``slice_bytes`` in all, by the plan's own bound, aren't counted first.
+    """
+    keys = [f"_k{i}" for i in range(len(key))]
+    c = F.col
+    facts = fact.select(*[c(a).alias(k) for k, a in zip(keys, key)], day.alias("_t"), F.struct(*fact.columns).alias("_f"))
+    versions = dim.filter(c(end).isNull() | (c(end) > c(start))).select(
+        *[c(b).alias(k) for k, b in zip(keys, key.values())], c(start).alias("_t"), c(end).alias("_end"), F.struct(*dim.columns).alias("_v")
+    )
+    needed = [*keys, "_t"]
+    known, versions = facts.dropna(subset=needed), versions.dropna(subset=needed)
+    if fact._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > slice_bytes:
+        cuts = F.broadcast(_cuts(known.select(*needed), keys, slice_rows))
+        before = lambda test: F.size(F.filter("_cuts", test))
+        at = F.when(c("_cuts").isNull(), 0).otherwise(before(lambda x: x <= c("_t")))
+        last = F.when(c("_cuts").isNull(), 0).when(c("_end").isNull(), F.size("_cuts")).otherwise(before(lambda x: x < c("_end")))
+        known = known.join(cuts, keys, "left").withColumn("_s", at).drop("_cuts")
+        versions = versions.join(cuts, keys, "left").withColumn("_s", F.explode(F.sequence(at, last))).drop("_cuts")
+    else:
+        known, versions = known.withColumn("_s", F.lit(0)), versions.withColumn("_s", F.lit(0))
+    both = known.withColumn("_is_fact", F.lit(True)).unionByName(versions.withColumn("_is_fact", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_s").orderBy("_t", "_is_fact").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.select("_is_fact", "_t", "_f", F.last("_v", True).over(w).alias("_v")).filter("_is_fact")
+    holds = c("_v").isNotNull() & (c("_v")[end].isNull() | (c("_v")[end] > c("_t")))
+    if how == "inner":
+        return swept.filter(holds).select("_f.*", "_v.*")
+    none = facts.filter(~_all_known(needed)).select("_f", F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"))
+    return swept.select("_f", F.when(holds, c("_v")).alias("_v")).unionByName(none).select("_f.*", "_v.*")

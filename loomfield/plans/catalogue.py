@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import blank_to_null, date_key, days_between, initcap_words, pass_rate, row_hash
+from loomfield.operators import distinct
 from loomfield.operators import rows as R
 from loomfield.operators.dates import calendar
 
@@ -181,7 +182,21 @@ def versions(spark, sf):
 @query(f"""SELECT event_id, version, status FROM events JOIN ({_VERSIONS}) v ON k = user_id AND start_date <= (ts - INTERVAL 8 YEAR)::DATE AND (end_date IS NULL OR end_date > (ts - INTERVAL 8 YEAR)::DATE)""")
 def asof_scd2_lookup(spark, sf):
     facts = read(spark, sf, "events").select("event_id", "user_id", F.add_months(C("ts").cast("date"), -96).alias("day"))
-    return R.as_of(facts, versions(spark, sf), {"user_id": "k"}, C("day")).select("event_id", "version", "status")
+    return R.as_of_join(facts, versions(spark, sf), {"user_id": "k"}, C("day")).select("event_id", "version", "status")
+
+
+@query("""SELECT l_orderkey, l_linenumber, version, total FROM lineitem JOIN (
+    SELECT *, lead(start_date) OVER (PARTITION BY k ORDER BY start_date) AS end_date FROM (
+        SELECT o_orderstatus AS k, o_orderdate::DATE AS start_date, max(o_orderkey) AS version, sum(o_totalprice::DECIMAL(12,2))::DECIMAL(22,2) AS total FROM orders GROUP BY 1, 2)) v
+    ON k = l_linestatus AND start_date <= l_shipdate::DATE AND (end_date IS NULL OR end_date > l_shipdate::DATE)""")
+def asof_hot_keys(spark, sf):
+    # Two keys have all lines and a version a day: a sweep in slices of time, where a join would compare each line with every day.
+    days = read(spark, sf, "orders").groupBy(C("o_orderstatus").alias("k"), C("o_orderdate").cast("date").alias("start_date")).agg(
+        F.max("o_orderkey").alias("version"), F.sum(dec("o_totalprice")).cast("decimal(22,2)").alias("total")
+    )
+    dim = days.withColumn("end_date", F.lead("start_date").over(Window.partitionBy("k").orderBy("start_date")))
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", C("l_shipdate").cast("date").alias("day"))
+    return R.as_of(lines, dim, {"l_linestatus": "k"}, C("day"), slice_rows=1 << 16, slice_bytes=0).select("l_orderkey", "l_linenumber", "version", "total")
 
 
 # Aggregates
@@ -786,6 +801,24 @@ def events_tumbling_window(spark, sf):
     return g.select(C("w.start").alias("window_start"), "event_type", "n", "total")
 
 
+@query("""SELECT year(ts)::INT AS year, month(ts)::INT AS month, event_type, count(DISTINCT user_id) AS people FROM events GROUP BY 1, 2, 3""")
+def people_monthly_from_days(spark, sf):
+    events = read(spark, sf, "events").select(C("ts").cast("date").alias("day"), "event_type", "user_id")
+    days = distinct.by_day(events, "day", ["event_type"], "user_id")
+    return distinct.counts(days, [F.year("day").alias("year"), F.month("day").alias("month"), "event_type"], "people")
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, n_name AS nation, count(DISTINCT o_custkey) AS buyers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
+def buyers_yearly_from_days(spark, sf):
+    # Days of two loads, merged as a refresh would merge them.
+    nations = read(spark, sf, "customer").join(read(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")).select("c_custkey", C("n_name").alias("nation"))
+    orders = read(spark, sf, "orders").filter(C("o_orderstatus") != "P").join(nations, C("o_custkey") == C("c_custkey"))
+    orders = orders.select(C("o_orderdate").cast("date").alias("day"), "nation", "o_custkey", (C("o_orderkey") % 2 == 0).alias("second"))
+    first, second = (distinct.by_day(orders.filter(C("second") == x), "day", ["nation"], "o_custkey") for x in (False, True))
+    return distinct.counts(distinct.merged(first, second), [F.year("day").alias("year"), "nation"], "buyers")
+
+
 # Flagship
 
 

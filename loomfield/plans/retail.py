@@ -112,10 +112,13 @@ reviews AS (SELECT 'r' || o_orderkey AS review_id, 'o' || (o_orderkey - o_orderk
     o_orderdate::DATE + 12 AS review_created_dt, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + to_days(14) END AS review_answered_at, lpad(o_orderkey::VARCHAR, 12, '0') AS h FROM orders),
 staged_reviews AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY review_answered_at DESC NULLS LAST, h) > 1 AS dup FROM reviews),
 products AS (SELECT 'p' || p_partkey AS product_id, lower(p_type) AS category_name_pt, CASE WHEN p_type <> 'PROMO' THEN {_CAP.format('p_type')} END AS category_name_en, p_size AS photo_cnt,
-    ((p_size - 1) * 10)::DECIMAL(10,2) AS weight_g, p_size::DECIMAL(10,2) AS length_cm FROM part),
+    ((p_size - 1) * 10)::DECIMAL(10,2) AS weight_g, p_size::DECIMAL(10,2) AS length_cm, length_cm AS height_cm, length_cm AS width_cm FROM part),
 sellers AS (SELECT 's' || s_suppkey AS seller_id, lpad(s_nationkey::VARCHAR, 5, '0') AS zip_code_prefix, {_CAP.format('s_name')} AS city, 'N' || s_nationkey AS state FROM supplier)"""
 
 
+_KINDS = "payment_type = 'CREDIT_CARD' AS is_credit_card, payment_type = 'BOLETO' AS is_boleto, payment_type = 'VOUCHER' AS is_voucher, payment_type = 'DEBIT_CARD' AS is_debit_card"
+
+
 @query(f"WITH {_STAGED} SELECT * FROM customers")
 def stg_customers(spark, sf):
     return staging.clean_customers(raw_tables(spark, sf)["customers"]).drop("_loaded_at", "_row_hash")
@@ -132,27 +135,26 @@ def stg_orders(spark, sf):
     return staging.clean_orders(raw_tables(spark, sf)["orders"]).drop("_loaded_at", "_row_hash")
 
 
-@query(f"WITH {_STAGED} SELECT order_id, order_item_id, product_id, seller_id, price_amt, freight_amt, total_item_amt FROM staged_items WHERE price_amt > 0 AND NOT dup")
+@query(f"WITH {_STAGED} SELECT order_id, order_item_id, product_id, seller_id, shipping_limit_at, price_amt, freight_amt, total_item_amt, loaded AS _loaded_at, h AS _row_hash FROM staged_items WHERE price_amt > 0 AND NOT dup")
 def stg_order_items(spark, sf):
-    return staging.clean_items(raw_tables(spark, sf)["order_items"]).drop("shipping_limit_at", "_loaded_at", "_row_hash")
+    return staging.clean_items(raw_tables(spark, sf)["order_items"])
 
 
-@query(f"""WITH {_STAGED} SELECT *, payment_type = 'CREDIT_CARD' AS is_credit_card, payment_type = 'BOLETO' AS is_boleto, payment_type = 'VOUCHER' AS is_voucher, payment_type = 'DEBIT_CARD' AS is_debit_card
-    FROM payments WHERE payment_amt > 0""")
+@query(f"""WITH {_STAGED} SELECT *, {_KINDS} FROM payments WHERE payment_amt > 0""")
 def stg_order_payments(spark, sf):
     return staging.clean_payments(raw_tables(spark, sf)["order_payments"]).drop("_loaded_at", "_row_hash")
 
 
-@query(f"""WITH {_STAGED} SELECT review_id, order_id, review_score, review_message, review_created_dt, review_answered_at, review_score >= 4 AS is_positive, review_score = 3 AS is_neutral, review_score <= 2 AS is_negative,
-    review_message IS NOT NULL AS has_comment FROM staged_reviews WHERE NOT dup""")
+@query(f"""WITH {_STAGED} SELECT review_id, order_id, review_score, NULL::VARCHAR AS review_title, review_message, review_created_dt, review_answered_at, review_score >= 4 AS is_positive, review_score = 3 AS is_neutral, review_score <= 2 AS is_negative,
+    review_message IS NOT NULL AS has_comment, h AS _row_hash FROM staged_reviews WHERE NOT dup""")
 def stg_order_reviews(spark, sf):
-    return staging.clean_reviews(raw_tables(spark, sf)["order_reviews"]).drop("review_title", "_loaded_at", "_row_hash")
+    return staging.clean_reviews(raw_tables(spark, sf)["order_reviews"]).drop("_loaded_at")
 
 
 @query(f"WITH {_STAGED} SELECT * FROM products")
 def stg_products(spark, sf):
     raw = raw_tables(spark, sf)
-    return staging.clean_products(raw["products"], raw["category_names"]).drop("height_cm", "width_cm", "_loaded_at", "_row_hash")
+    return staging.clean_products(raw["products"], raw["category_names"]).drop("_loaded_at", "_row_hash")
 
 
 @query(f"WITH {_STAGED} SELECT * FROM sellers")
@@ -232,13 +234,13 @@ versions AS (SELECT d.customer_key, d.customer_unique_id, d.zip_code_prefix, d.c
     UNION ALL SELECT (SELECT max(customer_key) FROM dim_customers) + row_number() OVER (ORDER BY customer_unique_id), customer_unique_id, zip_code_prefix, city, state, DATE '{MOVED}', NULL, TRUE FROM moved)"""
 _PERSON = "JOIN staged_orders o USING (order_id) JOIN customers c USING (customer_id) JOIN versions v ON v.customer_unique_id = c.customer_unique_id AND v.start_date <= o.purchase_date AND (v.end_date IS NULL OR v.end_date > o.purchase_date)"
 _FACT_ITEMS = f"""SELECT i.order_id, i.order_item_id, strftime(o.purchase_date, '%Y%m%d')::INT AS purchase_date_key, v.customer_key, p.product_key, s.seller_key, g.geography_key, o.order_status, o.is_delivered, o.is_canceled, o.is_late,
-    o.delivery_delay_days, i.price_amt, i.freight_amt, i.total_item_amt FROM (SELECT * FROM staged_items WHERE price_amt > 0 AND NOT dup) i {_PERSON}
+    o.delivery_delay_days, i.price_amt, i.freight_amt, i.total_item_amt, FALSE AS _is_late_arriving FROM (SELECT * FROM staged_items WHERE price_amt > 0 AND NOT dup) i {_PERSON}
     JOIN dim_products p ON p.product_id = i.product_id JOIN dim_sellers s ON s.seller_id = i.seller_id LEFT JOIN dim_geography g ON g.zip_code_prefix = c.zip_code_prefix"""
 
 
-def _dims(spark, sf, moved: bool = False):
+def _dims(spark, sf, moved: bool = False, only: tuple[str, ...] | None = None):
     stg = staging.stage(raw_tables(spark, sf))
-    dims = marts.build_dims(stg, F.lit(TODAY).cast("date"))
+    dims = marts.build_dims(stg, F.lit(TODAY).cast("date"), only)
     if moved:
         latest = marts.one_per_person(stg["customers"], stg["orders"], True)
         dims["customers"] = marts.evolve(dims["customers"], latest, "customer_key", "customer_unique_id", marts.CUSTOMER_TRACKED, F.lit(MOVED).cast("date"))
@@ -247,45 +249,44 @@ def _dims(spark, sf, moved: bool = False):
 
 @query(f"WITH {_DIMS} SELECT * FROM dim_customers")
 def mart_dim_customers(spark, sf):
-    return schemas.declared(_dims(spark, sf)[1]["customers"], "dim_customers")
+    return schemas.declared(_dims(spark, sf, only=("customers",))[1]["customers"], "dim_customers")
 
 
 @query(f"WITH {_MOVES} SELECT * FROM versions")
 def mart_dim_customers_moved(spark, sf):
-    return _dims(spark, sf, True)[1]["customers"]
+    return _dims(spark, sf, True, ("customers",))[1]["customers"]
 
 
 @query(f"WITH {_DIMS} SELECT * FROM dim_products")
 def mart_dim_products(spark, sf):
-    return schemas.declared(_dims(spark, sf)[1]["products"], "dim_products")
+    return schemas.declared(_dims(spark, sf, only=("products",))[1]["products"], "dim_products")
 
 
 @query(f"WITH {_DIMS} SELECT * FROM dim_sellers")
 def mart_dim_sellers(spark, sf):
-    return schemas.declared(_dims(spark, sf)[1]["sellers"], "dim_sellers")
+    return schemas.declared(_dims(spark, sf, only=("sellers",))[1]["sellers"], "dim_sellers")
 
 
 @query(f"WITH {_DIMS} SELECT geography_key, zip_code_prefix, city, state, round(lat, 6) AS lat, round(lng, 6) AS lng FROM dim_geography")
 def mart_dim_geography(spark, sf):
-    return _dims(spark, sf)[1]["geography"].withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
+    return _dims(spark, sf, only=("geography",))[1]["geography"].withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
 
 
 @query(f"WITH {_MOVES} {_FACT_ITEMS}")
 def mart_fact_items(spark, sf):
-    return marts.fact_items(*_dims(spark, sf, True)).drop("_is_late_arriving", "_loaded_at")
+    return marts.fact_items(*_dims(spark, sf, True)).drop("_loaded_at")
 
 
-@query(f"""WITH {_MOVES} SELECT i.order_id, i.payment_sequential, strftime(o.purchase_date, '%Y%m%d')::INT AS purchase_date_key, v.customer_key, i.payment_type, i.payment_installments, i.payment_amt
-    FROM (SELECT * FROM payments WHERE payment_amt > 0) i {_PERSON}""")
+@query(f"""WITH {_MOVES} SELECT i.order_id, i.payment_sequential, strftime(o.purchase_date, '%Y%m%d')::INT AS purchase_date_key, v.customer_key, i.payment_type, i.payment_installments, i.payment_amt,
+    {_KINDS}, FALSE AS _is_late_arriving FROM (SELECT * FROM payments WHERE payment_amt > 0) i {_PERSON}""")
 def mart_fact_payments(spark, sf):
-    rows = marts.fact_payments(*_dims(spark, sf, True))
-    return rows.select("order_id", "payment_sequential", "purchase_date_key", "customer_key", "payment_type", "payment_installments", "payment_amt")
+    return marts.fact_payments(*_dims(spark, sf, True, ("customers",))).drop("_loaded_at")
 
 
 @query(f"""WITH {_MOVES} SELECT i.review_id, i.order_id, strftime(coalesce(i.review_answered_at::DATE, i.review_created_dt), '%Y%m%d')::INT AS answered_date_key, v.customer_key, i.review_score, i.review_score >= 4 AS is_positive,
     i.review_score = 3 AS is_neutral, i.review_score <= 2 AS is_negative, i.review_message IS NOT NULL AS has_comment FROM (SELECT * FROM staged_reviews WHERE NOT dup) i {_PERSON}""")
 def mart_fact_reviews(spark, sf):
-    return marts.fact_reviews(*_dims(spark, sf, True)).drop("_loaded_at")
+    return marts.fact_reviews(*_dims(spark, sf, True, ("customers",))).drop("_loaded_at")
 
 
 @query(f"""WITH {_MOVES}, facts AS ({_FACT_ITEMS}), days AS (SELECT strftime(d, '%Y%m%d')::INT AS date_key, year(d)::INT AS year_num, month(d)::INT AS month_num, strftime(d, '%B') AS month_name
