@@ -2,8 +2,8 @@
 
 Each round links every node's larger neighbours to the least node it knows, then its smaller ones;
 paths halve, so a chain of n links takes about log n rounds. Every round is written in the shared
-folder. A node with many links has its links spread over the shuffle by the far end; what meets at
-a node is an aggregate, so a hub is never collected.
+folder. A node's least neighbour is an aggregate that begins before the shuffle; where it is joined back,
+the links of a hub (``HUB``) are spread over SALTS keys by their far end, so no task gets all of them.
 """
 
 from __future__ import annotations
@@ -15,17 +15,31 @@ from loomfield.llm.common import Scratch
 
 #: Paths halve in a round, so no table that can be stored needs as many.
 ROUNDS = 64
+#: A hub has more links than this and than one in HUBS of all, so there are fewer than HUBS of them.
+HUB, HUBS, SALTS = 50_000, 1024, 64
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (u, v): each node's neighbours above it (large) or not above it (small) go to its least neighbour."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    links_of, least_of = salted(both, least)
+    joined = links_of.join(least_of, ["u", "s"]).select("u", "v", "m")
     moved = joined.filter(F.col("v") > F.col("u")).select("v", "m") if large else joined.select("v", "m").union(least.select("u", "m"))
     return moved.toDF("u", "v").filter("u != v").distinct()
 
 
+def salted(both: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) and least nodes (u, m), each with a salt ``s`` to join on: SALTS of them for a hub, else 0 alone."""
+    every = least.agg(F.sum("n").alias("every"))
+    hubs = least.join(F.broadcast(every), F.col("n") > F.greatest(F.lit(HUB), F.col("every") / HUBS)).select("u", F.lit(True).alias("hub"))
+    of_hub = lambda x, other: F.when(F.col("hub"), x).otherwise(other)
+    with_hub = lambda df: df.join(F.broadcast(hubs), "u", "left")
+    links = with_hub(both).select("u", "v", of_hub(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"), F.lit(0)).alias("s"))
+    every_salt = of_hub(F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0)))
+    return links, with_hub(least).select("u", "m", F.explode(every_salt).alias("s"))
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); root is the least node of its component."""
     now = scratch.write(links.select("u", "v").filter("u != v").distinct(), f"{name}-0")

@@ -5,7 +5,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomfield.llm import components as linked
 from loomfield.llm.components import components
 from loomfield.llm.common import Scratch
 from loomfield.llm import jaccard_join
@@ -82,6 +84,23 @@ def test_join_of_nothing_nulls_and_repeats(spark):
     assert got == [("7", 2, 7), ("7", 2, 7), ("9", 0, 9), ("None", 2, 7), ("None", 2, 7)]
 
 
+def test_components_of_a_star(spark):
+    """A hub of 10^5 links beside a chain and a small star: its links meet the hub in shares."""
+    n = 100_000
+    hub = spark.range(1, n + 1).select(F.lit(1_000_000).alias("u"), F.col("id").alias("v"))
+    rest = spark.createDataFrame([(2_000_000, 2_000_001), (2_000_001, 2_000_002), (3_000_000, 3_000_001)], "u long, v long")
+    links = hub.union(rest)
+    got = components(links, Scratch(spark, "t"), "star")
+    wanted = {1: n + 1, 2_000_000: 3, 3_000_000: 2}
+    assert {r.root: r["count"] for r in got.groupBy("root").count().collect()} == wanted
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    dealt, copies = linked.salted(links, least)
+    shares = [r["count"] for r in dealt.filter("u = 1000000").groupBy("s").count().collect()]
+    assert len(shares) == linked.SALTS and max(shares) <= 2 * sorted(shares)[len(shares) // 2]
+    assert copies.groupBy("u").count().filter("u <> 1000000 and count > 1").count() == 0
+    assert dealt.join(copies, ["u", "s"]).count() == links.count()
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = dict(components(links, Scratch(spark, "t"), "chain").collect())
