@@ -15,29 +15,53 @@ from loomfield.llm.common import Scratch
 
 #: Paths halve in a round, so no table that can be stored needs as many.
 ROUNDS = 64
-#: A hub has more links than this and than one in HUBS of all, so there are fewer than HUBS of them.
+#: A hub has more links than this and than one in HUBS of all, so there are at most 2 * HUBS of them.
 HUB, HUBS, SALTS = 50_000, 1024, 64
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _both(links: DataFrame, large: bool) -> DataFrame:
+    """Links (u, v) from both ends (large), or from the greater one."""
+    if large:
+        return links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def hubs_of(links: DataFrame, large: bool) -> list:
+    """The nodes that are hubs in a written table of links; a bounded list."""
+    every = links.count()
+    if every <= HUB:
+        return []
+    counts = _both(links, large).groupBy("u").agg(F.count("*").alias("n"))
+    return [r["u"] for r in counts.filter(F.col("n") > max(HUB, every / HUBS)).select("u").collect()]
+
+
+def salted(both: DataFrame, least: DataFrame, hubs: list) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) and least nodes (u, m), each with a salt ``s`` to join on: SALTS of them for a hub, else 0 alone."""
+    hub = F.col("u").isin(hubs)
+    salt = F.when(hub, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    every_salt = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return both.withColumn("s", salt), least.withColumn("s", F.explode(every_salt))
+
+
+def _star(links: DataFrame, large: bool, hubs: list) -> DataFrame:
     """Links (u, v): each node's neighbours above it (large) or not above it (small) go to its least neighbour."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    links_of, least_of = salted(both, least)
-    joined = links_of.join(least_of, ["u", "s"]).select("u", "v", "m")
+    both = _both(links, large)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if hubs:
+        dealt, copies = salted(both, least, hubs)
+        joined = dealt.join(copies, ["u", "s"])
+    else:
+        joined = both.join(least, "u")
     moved = joined.filter(F.col("v") > F.col("u")).select("v", "m") if large else joined.select("v", "m").union(least.select("u", "m"))
     return moved.toDF("u", "v").filter("u != v").distinct()
 
 
-def salted(both: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) and least nodes (u, m), each with a salt ``s`` to join on: SALTS of them for a hub, else 0 alone."""
-    every = least.agg(F.sum("n").alias("every"))
-    hubs = least.join(F.broadcast(every), F.col("n") > F.greatest(F.lit(HUB), F.col("every") / HUBS)).select("u", F.lit(True).alias("hub"))
-    of_hub = lambda x, other: F.when(F.col("hub"), x).otherwise(other)
-    with_hub = lambda df: df.join(F.broadcast(hubs), "u", "left")
-    links = with_hub(both).select("u", "v", of_hub(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"), F.lit(0)).alias("s"))
-    every_salt = of_hub(F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0)))
-    return links, with_hub(least).select("u", "m", F.explode(every_salt).alias("s"))
+def _round(now: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A large and a small star; the links between are written where there are enough of them for a hub."""
+    if now.count() <= HUB:  # a large star leaves no more links than it gets
+        return _star(_star(now, True, []), False, [])
+    between = scratch.write(_star(now, True, hubs_of(now, True)), f"{name}-large")
+    return _star(between, False, hubs_of(between, False))
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -45,7 +69,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.write(links.select("u", "v").filter("u != v").distinct(), f"{name}-0")
     seen = None
     for k in range(1, ROUNDS + 1):
-        now = scratch.write(_star(_star(now, True), False), f"{name}-{k}")
+        now = scratch.write(_round(now, scratch, f"{name}-{k}"), f"{name}-{k}")
+        scratch.drop(f"{name}-{k}-large")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

@@ -93,8 +93,9 @@ def test_components_of_a_star(spark):
     got = components(links, Scratch(spark, "t"), "star")
     wanted = {1: n + 1, 2_000_000: 3, 3_000_000: 2}
     assert {r.root: r["count"] for r in got.groupBy("root").count().collect()} == wanted
-    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    dealt, copies = linked.salted(links, least)
+    assert linked.hubs_of(links, True) == linked.hubs_of(links, False) == [1_000_000]
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    dealt, copies = linked.salted(links, least, [1_000_000])
     shares = [r["count"] for r in dealt.filter("u = 1000000").groupBy("s").count().collect()]
     assert len(shares) == linked.SALTS and max(shares) <= 2 * sorted(shares)[len(shares) // 2]
     assert copies.groupBy("u").count().filter("u <> 1000000 and count > 1").count() == 0
