@@ -10,10 +10,12 @@ A cell is a block of queries and a block of candidates; it lists and cuts by the
    with the queries, and every cell collects the entries that reach them.
 3. What is collected is scored exactly where it stands, and no more than k of a query leave a cell.
 
-Scale: queries come in blocks of ``QUERY_BLOCK`` and candidates in blocks of ``ROW_BLOCK``, both
-packed as matrices; a pair of blocks is a key of its own, so that no task gets more than one at a
-time and no key is hot. A cell sends ``k`` rows a query and part at most, whatever the scores.
-Thresholds are joined by block number, so nothing that grows with the input is broadcast.
+Scale: queries come in blocks of ``QUERY_BLOCK`` and candidates in blocks of ``ROW_BLOCK``, fewer of
+them where vectors are long, both packed as matrices of the smallest integers that hold them; a pair
+of blocks is a key of its own, so that no task gets more than one at a time and no key is hot. A
+cell sends ``k`` rows a query and part at most, whatever the scores. Blocks meet in a sort-merge
+join: packed files look small enough to broadcast, but a side has a copy for every block of the
+other. Thresholds are joined by block number, so nothing that grows with the input is broadcast.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part,
 neither as query nor as candidate. Vectors of another length than a query's are not its
@@ -37,9 +39,11 @@ from loomfield.llm.common import Scratch, sliced, table
 
 K = 10
 PARTS = 2
-QUERY_BLOCK = 1024
-ROW_BLOCK = 4096
-QUERIES_AT_ONCE = 256
+QUERY_BLOCK = 8192
+ROW_BLOCK = 16384
+#: Components of the vectors of a block.
+VALUES = 1 << 20
+QUERIES_AT_ONCE = 64
 UNIT = 1024.0
 
 
@@ -50,29 +54,31 @@ def quantised(vector: Column) -> Column:
 
 
 def blocks(rows: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """(block, width, ids, matrix of 64-bit floats as bytes) of rows (id, v).
+    """(block, width, ids, matrix as bytes, their type) of rows (id, v).
 
     Rows are dealt by their place, so that an id that many rows share does not fill a block.
     """
-    n = max(1, math.ceil(rows.count() / size))
+    count, values = rows.agg(F.count("*"), F.sum(F.size("v").cast("long"))).first()
+    n = max(1, math.ceil(count / size), math.ceil((values or 0) / VALUES))
     dealt = rows.select("id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("b"))
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
-        m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
-        return pa.table({"block": t.column("b")[:1], "width": t.column("width")[:1], "ids": pa.array([ids.astype("i8")], pa.list_(pa.int64())), "m": pa.array([m.tobytes()], pa.binary())})
+        m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        kind = next(k for k in ("<i2", "<i4", "<i8") if np.iinfo(k).min <= m.min() and m.max() <= np.iinfo(k).max)
+        return pa.table({"block": t.column("b")[:1], "width": t.column("width")[:1], "ids": pa.array([ids.astype("i8")], pa.list_(pa.int64())), "m": pa.array([m.astype(kind).tobytes()], pa.binary()), "kind": [kind]})
 
-    return scratch.write(dealt.groupBy("b", "width").applyInArrow(run, "block int, width int, ids array<long>, m binary"), name)
+    return scratch.write(dealt.groupBy("b", "width").applyInArrow(run, "block int, width int, ids array<long>, m binary, kind string"), name)
 
 
 def cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for every pair of a query block and a candidate block of one width, each with a key (q, c) of its own."""
     last = lambda df: (df.agg(F.max("block")).first()[0] or 0)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
-    more = [x for x in queries.columns if x not in ("block", "width", "ids", "m")]
-    q = queries.select("width", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), *more, every(last(candidates)).alias("c"))
-    c = candidates.select("width", "ids", "m", F.col("block").alias("c"), every(last(queries)).alias("q"))
-    return c.join(q, ["q", "c", "width"])
+    more = [x for x in queries.columns if x not in ("block", "width", "ids", "m", "kind")]
+    q = queries.select("width", F.col("block").alias("q"), *[F.col(x).alias(f"q_{x}") for x in ("ids", "m", "kind")], *more, every(last(candidates)).alias("c"))
+    c = candidates.select("width", "ids", "m", "kind", F.col("block").alias("c"), every(last(queries)).alias("q"))
+    return c.join(q.hint("merge"), ["q", "c", "width"])
 
 
 FOUND = "query_id long, vec_id long, score long"
@@ -81,7 +87,7 @@ FOUND = "query_id long, vec_id long, score long"
 def part_scores(r: dict, parts: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
     """(first query, ids of candidates, scores by part, what is no candidate) of a cell, some queries at a time."""
     w, ids = r["width"], np.array(r["ids"], np.int64)
-    q, m = (np.frombuffer(r[k], "<f8").reshape(-1, w) for k in ("q_m", "m"))
+    q, m = (np.frombuffer(r[f"{k}m"], r[f"{k}kind"]).astype("<f8").reshape(-1, w) for k in ("q_", ""))
     q_ids = np.array(r["q_ids"], np.int64)
     cut = np.linspace(0, w, parts + 1).astype(int)
     for lo in range(0, len(q), QUERIES_AT_ONCE):
@@ -118,7 +124,7 @@ def local_lists(grid: DataFrame, k: int, parts: int) -> DataFrame:
                     np.put_along_axis(listed, np.argpartition(np.where(own, np.inf, -s), n - 1, axis=1)[:, :n], True, axis=1)
                 yield best(q_ids[lo : lo + len(own)], ids, np.where(listed & ~own, sum(each), -np.inf), k * parts)
 
-    return grid.select("width", "q_ids", "q_m", "ids", "m").mapInArrow(run, FOUND)
+    return grid.select("width", "q_ids", "q_m", "q_kind", "ids", "m", "kind").mapInArrow(run, FOUND)
 
 
 def reaching(grid: DataFrame, k: int, parts: int) -> DataFrame:
@@ -137,7 +143,7 @@ def reaching(grid: DataFrame, k: int, parts: int) -> DataFrame:
                     open_ |= s >= some
                 yield best(q_ids[lo : lo + len(own)], ids, np.where(open_ & ~own, sum(each), -np.inf), k)
 
-    return grid.select("width", "q_ids", "q_m", "ids", "m", "cuts").mapInArrow(run, FOUND)
+    return grid.select("width", "q_ids", "q_m", "q_kind", "ids", "m", "kind", "cuts").mapInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, parts: int = PARTS) -> DataFrame:

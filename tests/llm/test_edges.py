@@ -124,3 +124,23 @@ def test_columns_of_any_name_pass_every_stage(spark):
     assert {x.doc_id for x in now.select("doc_id").distinct().collect()} == {*range(20), None}
     left = spark.read.parquet(f"{base}/jaccard_join")
     assert sorted(x.text for x in left.collect()) == sorted(texts)
+
+
+def test_top_k_sends_no_copies_of_blocks_to_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from loomfield.llm import topk
+
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 10)
+    r = random.Random(4)
+    # Components in two and four bytes.
+    rows = {i: [r.uniform(-1, 1) * (1, 1e3, 1e4)[i % 3] for _ in range(3)] for i in range(90)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "test")
+    packed = [topk.blocks(df.select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v")).filter(f), n, scratch, name) for f, n, name in (("id % 5 = 0", 4, "q"), ("true", 10, "c"))]
+    plan = topk.cells(*packed)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    ints = {i: np.floor(np.array(v) * 1024).astype(np.int64) for i, v in rows.items()}
+    want = {(q, k + 1, i, -s) for q in ints if q % 5 == 0 for k, (s, i) in enumerate(sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:3])}
+    assert {tuple(x) for x in top_k(df, F.col("vec_id") % 5 == 0, k=3).collect()} == want
