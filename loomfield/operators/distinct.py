@@ -1,9 +1,9 @@
-"""Exact distinct counts that are kept by day and roll up: bitmaps of whole-number ids, merged by OR.
+"""Exact distinct counts that are kept by day and roll up: sets of ids, a row for each id of a day and group.
 
-A bitmap has the ids of one bucket of 32,768 numbers, 4 KB. Days and groups hold one for each bucket they
-meet, so a month or a quarter is counted from its days' bitmaps without the raw rows, and a load of late rows
-is merged into the days that it touches. Ids should be dense (surrogate keys are): an id alone in its bucket
-costs 4 KB. Null ids count nowhere, as in a distinct count; a group of null ids alone has count 0.
+A month or a quarter is counted from its days' sets without the raw rows, and a load of late rows is merged into
+the days that it touches. Bitmaps would be smaller where most ids of a bucket come on most days, but a bitmap takes
+4 KB for the few ids that a day and group of many buckets hold, and a sort of them is as many times larger than
+what was shuffled. Null ids count nowhere, as in a distinct count; a group of null ids alone has count 0.
 """
 
 from __future__ import annotations
@@ -15,19 +15,17 @@ from pyspark.sql import functions as F
 
 
 def by_day(rows: DataFrame, day: str, groups: Sequence[str], id: str) -> DataFrame:
-    """A row for each day, group and bucket: ``day``, the groups, ``bucket``, ``bits``. Bits are set before the shuffle."""
-    by = [F.col(day), *[F.col(g) for g in groups]]
-    return rows.groupBy(*by, F.bitmap_bucket_number(id).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(id)).alias("bits"))
+    """A row for each day, group and id: ``day``, the groups, ``id``."""
+    return rows.select(F.col(day), *[F.col(g) for g in groups], F.col(id).alias("id")).distinct()
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Bitmaps of two loads as one; a row that both hold counts once."""
-    by = [c for c in old.columns if c != "bits"]
-    return old.unionByName(new).groupBy(*by).agg(F.bitmap_or_agg("bits").alias("bits"))
+    """Sets of two loads as one; a row that both hold counts once."""
+    return old.unionByName(new).distinct()
 
 
 def counts(days: DataFrame, by: Sequence[str | Column], name: str) -> DataFrame:
-    """Distinct ids of coarser groups, as months: the bitmaps of a bucket are merged, then the buckets' counts summed."""
-    group = days.groupBy(*by, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("_n"))
-    outer = [c for c in group.columns if c not in ("bucket", "_n")]
-    return group.groupBy(*outer).agg(F.sum("_n").alias(name))
+    """Distinct ids of coarser groups, as months."""
+    one = days.groupBy(*by, "id").agg(F.lit(1).alias("_one"))
+    outer = [c for c in one.columns if c not in ("id", "_one")]
+    return one.groupBy(*outer).agg(F.count("id").alias(name))

@@ -26,3 +26,12 @@ def test_nulls_and_nothing(spark):
     days = distinct.by_day(rows, "day", ["g"], "who")
     assert {(r.g, r.n) for r in distinct.counts(days, ["g"], "n").collect()} == {("a", 0), (None, 2)}
     assert distinct.counts(distinct.by_day(rows.limit(0), "day", ["g"], "who"), ["g"], "n").collect() == []
+
+
+def test_ids_far_apart_take_little(spark):
+    import pickle
+
+    rows = spark.range(300).select(F.lit(date(2020, 1, 1)).alias("day"), (F.col("id") % 2).alias("g"), (F.col("id") * 40_000).alias("who"))
+    days = distinct.by_day(rows, "day", ["g"], "who")
+    assert len(pickle.dumps([tuple(r) for r in distinct.merged(days, days).collect()])) < 300 * 200
+    assert {(r.g, r.n) for r in distinct.counts(days, ["g"], "n").collect()} == {(0, 150), (1, 150)}
